@@ -1 +1,128 @@
-"""To come."""
+"""Window, top-k and page queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tracewell.operators import windows as win
+from tracewell.plans.estate import Estate, line_label
+from tracewell.plans.registry import query
+
+_LABELS = "labels_of AS (SELECT DISTINCT req_id, label, ascii(label) AS n FROM assertions)"
+
+
+@query("""SELECT req_id, string_agg(CASE WHEN c > 2 THEN lo || '-' || hi WHEN c = 2 THEN lo || ',' || hi ELSE lo END, ',' ORDER BY lo) AS labels
+FROM (SELECT req_id, min(label) AS lo, max(label) AS hi, count(*) AS c FROM (SELECT *, n - row_number() OVER (PARTITION BY req_id ORDER BY n) AS island FROM labels_of) GROUP BY req_id, island) GROUP BY req_id""", tables=_LABELS)
+def compact_labels(e: Estate) -> DataFrame:
+    return win.compacted(e.assertions, "req_id", "label")
+
+
+@query("SELECT req_id, chr((64 + min(rn))::INT) AS expected, min_by(label, rn) AS found FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY label) AS rn FROM labels_of) WHERE n - 64 <> rn GROUP BY req_id", tables=_LABELS)
+def labels_sequential(e: Estate) -> DataFrame:
+    return win.first_gap(e.assertions, "req_id", "label")
+
+
+@query("SELECT req_id, chr((max(n) + 1)::INT) AS next_label FROM labels_of GROUP BY req_id", tables=_LABELS)
+def next_label(e: Estate) -> DataFrame:
+    return e.assertions.groupBy("req_id").agg(F.char(F.max(F.ascii("label")) + 1).alias("next_label"))
+
+
+@query("""SELECT id, CASE WHEN rn = 1 THEN id WHEN k = 1 THEN id || '#' || stem ELSE id || '#' || stem || '__' || k END AS unique_id, part, pos FROM (
+SELECT *, row_number() OVER (PARTITION BY id, stem, rn = 1 ORDER BY part, pos) AS k FROM (SELECT 'O' || l_orderkey || '-' || chr(64 + l_linenumber) AS id, 's' || (l_suppkey % 10) AS stem, l_partkey AS part, l_suppkey AS pos, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS rn FROM lineitem))""")
+def duplicate_disambiguation(e: Estate) -> DataFrame:
+    """First definition keeps its id, later ones get the stem, then a number."""
+    lines = e.table("lineitem").select(F.concat(F.lit("O"), F.col("l_orderkey"), F.lit("-"), line_label()).alias("id"), F.concat(F.lit("s"), F.col("l_suppkey") % 10).alias("stem"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("pos"))
+    rn = F.row_number().over(Window.partitionBy("id").orderBy("part", "pos"))
+    k = F.row_number().over(Window.partitionBy("id", "stem", "first").orderBy("part", "pos"))
+    df = lines.withColumn("rn", rn).withColumn("first", F.col("rn") == 1).withColumn("k", k)
+    named = F.concat_ws("#", "id", "stem")
+    return df.select("id", F.when(F.col("first"), F.col("id")).when(F.col("k") == 1, named).otherwise(F.concat_ws("__", named, F.col("k").cast("string"))).alias("unique_id"), "part", "pos")
+
+
+_LINES = """code_lines AS (SELECT DISTINCT p_brand AS file, l_partkey + l_linenumber AS line, max(CASE WHEN l_quantity > 25 THEN l_quantity::BIGINT ELSE 0 END) AS hits FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+markers AS (SELECT DISTINCT p_brand AS file, p_partkey AS line FROM part WHERE p_size % 7 = 0)"""
+
+
+def code_lines(e: Estate) -> DataFrame:
+    hits = F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("long")).otherwise(0)
+    df = e.table("lineitem").join(e.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return df.groupBy(F.col("p_brand").alias("file"), (F.col("l_partkey") + F.col("l_linenumber")).alias("line")).agg(F.max(hits).alias("hits"))
+
+
+@query("""SELECT file, block, count(*) AS lines FROM (SELECT file, line, m, sum(CASE WHEN m = 1 AND p = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line, m DESC)::BIGINT AS block
+FROM (SELECT *, coalesce(lag(m) OVER (PARTITION BY file ORDER BY line, m DESC), 0) AS p FROM (SELECT file, line, 1 AS m FROM markers UNION ALL SELECT file, line, 0 FROM code_lines))) WHERE m = 0 GROUP BY ALL""", tables=_LINES)
+def block_regions(e: Estate) -> DataFrame:
+    markers = e.table("part").where("p_size % 7 = 0").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line")).distinct()
+    return win.block_owner(markers, code_lines(e), ["file"], "line").groupBy("file", "block").agg(F.count("*").alias("lines"))
+
+
+@query("""SELECT file, line, hits, last_value(name IGNORE NULLS) OVER (PARTITION BY file ORDER BY line, k ROWS UNBOUNDED PRECEDING) AS enclosing, first_value(name IGNORE NULLS) OVER (PARTITION BY file ORDER BY line, k ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS coming
+FROM (SELECT file, line, hits, NULL AS name, 1 AS k FROM code_lines UNION ALL SELECT p_brand, p_partkey, NULL, 'f' || p_partkey, 0 FROM part WHERE p_size % 7 = 0) QUALIFY name IS NULL""", tables=_LINES)
+def line_context(e: Estate) -> DataFrame:
+    """The function that encloses each line, and the one that opens within five rows."""
+    starts = e.table("part").where("p_size % 7 = 0").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), F.lit(None).cast("long").alias("hits"), F.concat(F.lit("f"), F.col("p_partkey")).alias("name"), F.lit(0).alias("k"))
+    both = code_lines(e).withColumn("name", F.lit(None).cast("string")).withColumn("k", F.lit(1)).unionByName(starts)
+    w = Window.partitionBy("file").orderBy("line", "k")
+    held = F.last("name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("name", ignorenulls=True).over(w.rowsBetween(1, 5))
+    return both.withColumn("enclosing", held).withColumn("coming", ahead).where("name is null").drop("name", "k")
+
+
+@query("SELECT file, count(*) AS executable, count(*) FILTER (WHERE hits > 0) AS covered FROM code_lines GROUP BY file", tables=_LINES)
+def line_coverage(e: Estate) -> DataFrame:
+    return code_lines(e).groupBy("file").agg(F.count("*").alias("executable"), F.count_if(F.col("hits") > 0).alias("covered"))
+
+
+@query("SELECT count(*) AS executable, count(*) FILTER (WHERE hits > 0) AS covered, count(DISTINCT file) AS files FROM code_lines", tables=_LINES)
+def count_code_coverage(e: Estate) -> DataFrame:
+    return line_coverage(e).agg(F.sum("executable").alias("executable"), F.sum("covered").alias("covered"), F.count("*").alias("files"))
+
+
+@query("SELECT p_partkey, count(*) AS lines, count(*) FILTER (WHERE hits > 0) AS covered FROM part JOIN code_lines ON file = p_brand AND line BETWEEN p_partkey AND p_partkey + p_size GROUP BY p_partkey", tables=_LINES)
+def line_range_join(e: Estate) -> DataFrame:
+    """Ranges are at most 50 lines: each is opened to its lines, and the range join
+    becomes an equi join that needs no nested loop."""
+    ranges = e.table("part").select("p_partkey", F.col("p_brand").alias("file"), F.explode(F.sequence(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size"))).alias("line"))
+    return ranges.join(code_lines(e), ["file", "line"]).groupBy("p_partkey").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 0).alias("covered"))
+
+
+@query("SELECT p_partkey, round(count(*) FILTER (WHERE hits > 0)::DOUBLE / count(*), 6) AS fraction FROM part JOIN code_lines ON file = p_brand AND line BETWEEN p_partkey AND p_partkey + p_size GROUP BY p_partkey", tables=_LINES)
+def lcov_tested(e: Estate) -> DataFrame:
+    return line_range_join(e).select("p_partkey", F.round(F.col("covered") / F.col("lines"), 6).alias("fraction"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type = 'purchase') WHERE rn = 1")
+def compact_promotes(e: Estate) -> DataFrame:
+    """The last event of a kind per key."""
+    kept = win.latest(e.table("events").where("event_type = 'purchase'"), ["user_id"], F.desc("ts"), F.desc("event_id"))
+    return kept.select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, min_by(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'signup' GROUP BY user_id")
+def latest_changelog(e: Estate) -> DataFrame:
+    return e.table("events").where("event_type = 'signup'").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("SELECT event_id, event_type, user_id FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50) ORDER BY ts, event_id")
+def mutation_tail(e: Estate) -> DataFrame:
+    tail = e.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    return tail.orderBy("ts", "event_id").select("event_id", "event_type", "user_id")
+
+
+@query("SELECT id, title, rn, total - rn AS remaining FROM (SELECT id, title, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () AS total FROM requirements) WHERE rn BETWEEN 101 AND 150")
+def result_page(e: Estate) -> DataFrame:
+    """Fifty rows after position 100: only the top of the order is sorted out."""
+    total = e.requirements.agg(F.count("*").alias("total"))
+    top = e.requirements.select("id", "title").orderBy("id").limit(150)
+    rn = F.row_number().over(Window.orderBy("id"))
+    return top.withColumn("rn", rn).where("rn > 100").crossJoin(F.broadcast(total)).select("id", "title", "rn", (F.col("total") - F.col("rn")).alias("remaining"))
+
+
+@query("SELECT status, count(*) AS n FROM requirements GROUP BY status ORDER BY n")
+def sort_by_role(e: Estate) -> DataFrame:
+    from tracewell.operators.coverage import role
+
+    rank = F.array_position(F.array(*map(F.lit, ("active", "provisional", "aspirational", "retired"))), F.col("role"))
+    return role("status", e.statuses, e.requirements.groupBy("status").agg(F.count("*").alias("n"))).orderBy(rank, "status").select("status", "n")
