@@ -29,6 +29,9 @@ BIN_BITS = 8
 ROWS = 6
 BANDS = (1 << BIN_BITS) // ROWS
 CENTRES = 4
+#: Size in bits of the map that spares documents without candidates a shuffle (a
+#: table of at most MAP_BITS / 64 rows; an exact join follows it).
+MAP_BITS = 1 << 26
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -113,6 +116,15 @@ def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
 
 
+def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id may be among ids: a bit map of hashed ids of fixed size."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(__at % 64 as int))")
+    words = ids.select(at.alias("__at")).select(F.floor(F.col("__at") / 64).alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    marked = docs.withColumn("__at", at).withColumn("__word", F.floor(F.col("__at") / 64))
+    return marked.join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__at", "__word", "__bits")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
 
@@ -121,7 +133,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
         return text.map(lambda t: shingle_set(t, k).tobytes())
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(docs.join(ids, "doc_id", "left_semi").select("doc_id", as_set("text").alias("s")), "sets")
+    sets = staged(maybe_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", as_set("text").alias("s")), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
