@@ -1,8 +1,8 @@
 """URL filters: host and path rules, then pattern rules found by their rarest
 literal token.
 
-A pattern rule is (id, verdict, tokens, regex): a URL can match only if it holds
-every token. Rules are filed under the token that the URLs of the table use
+A pattern rule is (id, verdict, tokens, regex), for lower-case URLs; its expression
+must match only URLs that hold every token as a whole run of letters and digits. Rules are filed under the token that the URLs of the table use
 least (counted over all of them, for the rules' tokens only), a URL's tokens
 fetch the candidates and only these run their expressions."""
 
@@ -29,7 +29,7 @@ HOST_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 #: Judged for URLs that no host rule fits; block wins over allow, default is allow.
 PATTERNS = (
     Pattern("pills", "block", ("cheap", "pills"), r"://([^/?#]*\.)?cheap-pills\."),
-    Pattern("casino", "block", ("casino",), r"://[^/?#]*casino"),
+    Pattern("casino", "block", ("casino",), r"://([^/?#]*[^a-z0-9/?#])?casino([^a-z0-9]|$)"),
     Pattern("tracker", "block", ("utm", "source", "feed"), r"[?&]utm_source=feed(&|#|$)"),
     Pattern("session", "block", ("sessionid",), r"[?&]sessionid=[0-9a-f]+"),
     Pattern("login", "block", ("login",), r"/login([/?#.]|$)"),
