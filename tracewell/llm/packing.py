@@ -14,6 +14,7 @@ same input split gives the same rows when a task is run again."""
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,34 +24,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import MEMO_WORDS
-
+#: Remembered pieces of text per worker.
+MEMO_PIECES = 1_000_000
 WINDOW = 2048
 END = 1
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_STOPPED = re.compile("(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])", re.S)
+#: The printable stand-in of each byte in byte-level vocabularies.
+_PRINTED = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_PRINTABLE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokens(dict):
     """Piece of text between spaces or line ends -> its ids as little-endian
-    32-bit bytes. The tokenizer splits at white space before anything else, so
-    the ids of a text are those of its pieces in turn."""
+    32-bit bytes. The tokenizer folds case and splits at white space, and between
+    letters and punctuation, before anything else; so the ids of a text are those
+    of its pieces in turn, a piece of letters has the ids of its lower case, and
+    one that ends in a stop has those of the two parts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.word = self.tokenizer.model.tokenize
+        self.folds = self._of("Ab") == self._of("ab") and self._of("ab.,") == self._of("ab") + self._of(".,") and self._of("ab cd") == self._of("ab") + self._of("cd")
+
+    def _of(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_PIECES:
             self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        found = np.asarray(ids, dtype="<u4").tobytes()
+        if self.folds and _LETTERS.fullmatch(piece):
+            low = piece.lower()
+            if low != piece:
+                found = self[low]
+            else:
+                found = np.asarray([t.id for t in self.word(low.encode().decode("latin-1").translate(_PRINTABLE))], dtype="<u4").tobytes()
+        elif self.folds and (parts := _STOPPED.fullmatch(piece)):
+            found = self[parts[1]] + self[parts[2]]
+        else:
+            found = np.asarray(self._of(piece), dtype="<u4").tobytes()
         if len(piece) < 64:
             self[piece] = found
         return found
 
     def ids(self, text: str) -> bytes:
+        if not self.folds:
+            return np.asarray(self._of(text), dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
