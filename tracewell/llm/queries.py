@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewell.llm import licences, lines, minhash, mixing, packing, quality, tokencount, urls, vectors, warc
+from tracewell.llm import licences, lines, minhash, mixing, oracles, packing, quality, tokencount, urls, vectors, warc
 from tracewell.llm.common import table
 
 
@@ -54,6 +54,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (op1_warc, op2_mixing, op3_quality_rules, op4_packing, op5_vectors, op6_token_counts, op7_licences, op8_minhash, op9_line_dedup, op10_url_filter)
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {}
+ORACLE = dict(oracles.ORACLE)
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
