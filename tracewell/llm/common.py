@@ -1,39 +1,15 @@
-"""Shared folder, staged tables and word hashing for the operators of this subpackage."""
+"""Tables and word hashing for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-MEMO_WORDS = 300_000
-_CHECKPOINT = "spark.checkpoint.dir"
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. On a cluster it must be configured; on a
-    local master an unset value gets a temporary folder."""
-    path = spark.conf.get(_CHECKPOINT, None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError(f"set {_CHECKPOINT} to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set(_CHECKPOINT, path)
-    return path
+from tracewell.functions.storage import shared_dir, staged
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage at a
-    replicated table, so a lost executor costs no recomputation before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["MEMO_WORDS", "as_int64", "mixed", "shared_dir", "staged", "table", "windows", "word_hashes"]
+MEMO_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +57,3 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 def as_int64(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
-
-
-def digest_order(*cols: str):
-    """A deterministic pseudo-random order key over columns."""
-    return F.xxhash64(*cols)

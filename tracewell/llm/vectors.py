@@ -221,7 +221,8 @@ def linked(vectors: DataFrame, least: float = 0.98, block: int = BLOCK) -> DataF
     of = classes.select(F.col("cid").alias("node"), "vec_id", "copies").join(roots, "node", "left").join(counts, "node", "left")
     of = of.select("node", "vec_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least_id = of.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    by_class = of.join(least_id, "component").select(F.col("node").alias("cid"), "n_links", "component_id")
+    # Written, so that Spark can split the join at a frequent vector.
+    by_class = staged(of.join(least_id, "component").select(F.col("node").alias("cid"), "n_links", "component_id"), "classes")
     out = keyed.select("vec_id", "cid").join(by_class, "cid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

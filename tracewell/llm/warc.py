@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import shared_dir
+from tracewell.llm.common import shared_dir, staged
 
 #: Payloads of fewer bytes are written as responses even when they repeat.
 REVISIT_BYTES = 1000
@@ -72,7 +72,8 @@ def write_archive(pages: DataFrame) -> Archive:
     index = full.select("page_id", "k", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("length"))
     index.write.option("compression", "zstd").parquet(f"{base}/index")
     index = spark.read.schema(index.schema).parquet(f"{base}/index")
-    keepers = index.groupBy("sha256").agg(F.max("k").alias("keeper"))
+    # Written, so that both sides of the join below are plain exchanges, which Spark can split at a frequent address.
+    keepers = staged(index.groupBy("sha256").agg(F.max("k").alias("keeper")), "keepers")
     # The bytes: one row for each address.
     stored = full.select("sha256", "k", "payload").join(keepers.withColumnRenamed("keeper", "k"), ["sha256", "k"], "left_semi").dropDuplicates(["sha256", "k"])
     stored.select("sha256", "payload").write.option("compression", "zstd").parquet(made.payloads)
