@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Remembered pieces of text per worker.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 300_000
 WINDOW = 2048
 END = 1
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
