@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     return out.select("doc_id", F.col("__source").alias("source"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, per_file: int = 50_000) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, per_file: int = 16_384) -> DataFrame:
     """docs' own columns, dealt out by place: partition p holds the places from
     p * per_file on, in order, so files written from it follow the mixture."""
     out = placed(docs, weights, block)
