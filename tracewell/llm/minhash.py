@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     made = staged(docs.mapInArrow(_sketches(k, percent), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     usable = made.where("n_shingles > 0 and doc_id is not null")
     same = ["h1", "h2", "n_shingles"]
-    reps = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Written, so that the join with it is one of plain exchanges, which Spark can split at a large class of copies.
+    reps = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     banded = usable.where(F.size("bands") > 0)
     classes = banded.join(reps.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     pairs = staged(candidate_pairs(classes, percent), "pairs")
