@@ -136,7 +136,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     sets = staged(maybe_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", as_set("text").alias("s")), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    # Sets are too large to send around: the same plan at every size.
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     shared = both.select("a", "b", (F.octet_length("sa") / 8).cast("long").alias("na"), (F.octet_length("sb") / 8).cast("long").alias("nb"), _shared("sa", "sb").alias("i"))
     return shared.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
