@@ -90,6 +90,24 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_in_a_family_of_dissimilar_copies(spark):
+    rnd = random.Random(8)
+    base = [f"v{i}" for i in range(61)]
+    rows = []
+    for i in range(1000):
+        w = list(base)
+        for at in rnd.sample(range(61), 3):
+            w[at] = f"u{rnd.randrange(3)}"
+        rows.append((i, " ".join(w), ""))
+    sets = {i: shingles(t, 2) for i, t, _ in rows}
+    pairs = [(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
+    assert 0.65 < sum(i / u for _, _, i, u in pairs) / len(pairs) < 0.8
+    want = groups(sets, [(a, b) for a, b, i, u in pairs if 100 * i >= 80 * u])
+    assert len(set(want.values())) > 1
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), k=2).collect()}
+    assert got == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 501), (501, 502), (9, 9), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

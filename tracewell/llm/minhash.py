@@ -3,9 +3,12 @@
 A document's set is its distinct k-word shingles. Each shingle is hashed once;
 the top bits choose a bin and the least value of a bin is its entry. Bins left
 empty borrow from a bin found by a hash of (bin, attempt), the same for every
-document. Bands of bins make buckets; a bucket of m documents makes m - 1 pairs
-with a centre, chosen by one of few salted orders, so that large groups of near
-copies meet a few centres. Every pair is confirmed on the full sets.
+document. Bands of bins make buckets. In the first round a bucket of m documents
+makes m - 1 pairs with a centre, chosen by one of few salted orders, so that large
+groups of near copies meet a few centres. Every pair is confirmed on the full sets.
+In the second round the members of a bucket whose components the first left apart
+make all their pairs that aren't compared yet. What shares a bucket is thus linked
+exactly as if all its pairs were compared; pairs inside a component are spared.
 
 Documents with equal sets are one class from the start: classes are compared,
 copies are never expanded into pairs."""
@@ -29,6 +32,8 @@ BIN_BITS = 8
 ROWS = 6
 BANDS = (1 << BIN_BITS) // ROWS
 CENTRES = 4
+#: Parts that the members of one component in one bucket are dealt to.
+PARTS = 64
 #: Size in bits of the map that spares documents without candidates a shuffle (a
 #: table of at most MAP_BITS / 64 rows; an exact join follows it).
 MAP_BITS = 1 << 26
@@ -116,6 +121,26 @@ def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
 
 
+def apart_pairs(classes: DataFrame, found: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """classes(doc_id, n_shingles, bands), found(node, component), tried(a, b) ->
+    distinct (a, b), a < b, not in tried, that share a bucket, are in different
+    components and whose sizes allow the similarity."""
+    rows = classes.select(F.col("doc_id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # With two members the one pair has been tried.
+    several = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
+    rows = rows.join(several, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = staged(rows, "members")
+    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    sides = rows.join(mixed_keys, "key", "left_semi").groupBy("key", "component", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "n")).alias("side"))
+    sides = staged(sides.drop("part"), "sides")
+    x, y = sides.select("key", F.col("component").alias("cx"), F.col("side").alias("sx")), sides.select("key", F.col("component").alias("cy"), F.col("side").alias("sy"))
+    met = x.join(y, "key").where("cx < cy").select(F.explode("sx").alias("x"), "sy").select("x", F.explode("sy").alias("y"))
+    met = met.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
+
+
 def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id may be among ids: a bit map of hashed ids of fixed size."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
@@ -158,7 +183,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     banded = usable.where(F.size("bands") > 0)
     classes = banded.join(reps.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     pairs = staged(candidate_pairs(classes, percent), "pairs")
-    near = confirmed(docs.where("doc_id is not null"), pairs, k, percent)
+    named = docs.where("doc_id is not null")
+    near = staged(confirmed(named, pairs, k, percent), "near")
+    apart = staged(apart_pairs(classes, components(near), pairs, percent), "pairs")
+    near = near.unionByName(confirmed(named, apart, k, percent))
     copies = usable.join(reps.where("copies > 1").drop("copies"), same).where("doc_id <> rep").select(F.col("doc_id").alias("node"), "rep").distinct()
     # A doc_id that repeats with other texts belongs to several classes: those links go through the component search.
     several = copies.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
