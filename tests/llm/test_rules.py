@@ -138,6 +138,21 @@ def test_quality_scores_equal_brute_force(spark):
         assert math.isclose(r.score, want, abs_tol=1e-9)
 
 
+def test_quality_drops_toxic_documents_of_quality_1(spark):
+    rnd = random.Random(6)
+    kinds = ([f"g{i}" for i in range(60)], [f"t{i}" for i in range(60)], [f"B{i}!!" for i in range(60)])
+    rows = [(i, " ".join(rnd.choices(kinds[i % 3], k=40))) for i in range(180)]
+    labels = [(i, (1, 1, 0)[i % 3], (0, 1, 0)[i % 3]) for i in range(90)]
+    labels += [(200, 1, None), (201, 0, None), (202, None, 1), (203, None, None), (204, 0, 1), (205, 1, 0), (205, 1, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = {r.doc_id: r.trusted for r in quality.labelled_sample(labels).collect()}
+    assert sample == {**{i: i % 3 == 0 for i in range(90)}, 201: False, 202: False, 204: False}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    assert all(got[i].kept == (i % 3 == 0 and not got[i].base_failed) for i, _ in rows)
+    assert sum(r.kept for r in got.values()) > 50
+
+
 def test_quality_without_labels_keeps_what_the_base_rules_keep(spark):
     docs, labels, _ = quality_tables(spark)
     assert all(r.kept != r.base_failed for r in quality.quality(docs, labels.limit(0)).collect())
