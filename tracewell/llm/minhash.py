@@ -3,12 +3,12 @@
 A document's set is its distinct k-word shingles. Each shingle is hashed once;
 the top bits choose a bin and the least value of a bin is its entry. Bins left
 empty borrow from a bin found by a hash of (bin, attempt), the same for every
-document. Bands of bins make buckets. In the first round a bucket of m documents
-makes m - 1 pairs with a centre, chosen by one of few salted orders, so that large
-groups of near copies meet a few centres. Every pair is confirmed on the full sets.
-In the second round the members of a bucket whose components the first left apart
-make all their pairs that aren't compared yet. What shares a bucket is thus linked
-exactly as if all its pairs were compared; pairs inside a component are spared.
+document. Bands of bins make buckets; candidate edges in a bucket are stars (see
+`buckets`), and every edge is confirmed on the full sets. Which of the first 128
+bins are full, and one bit of each, make a sketch that estimates the similarity
+with a deviation of 0.05 to 0.08; pairs of an estimate under ESTIMATE are spared the
+comparison of their sets. What shares a bucket and reaches it is linked exactly as
+if all pairs were compared.
 
 Documents with equal sets are one class from the start: classes are compared,
 copies are never expanded into pairs."""
@@ -25,18 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import as_int64, mixed, staged, windows, word_hashes
+from tracewell.llm.buckets import Arrays, linked, sizes_allow
+from tracewell.llm.common import as_int64, maybe_in, mixed, staged, windows, word_hashes
 from tracewell.llm.components import components
 
 BIN_BITS = 8
 ROWS = 6
 BANDS = (1 << BIN_BITS) // ROWS
-CENTRES = 4
-#: Parts that the members of one component in one bucket are dealt to.
-PARTS = 64
-#: Size in bits of the map that spares documents without candidates a shuffle (a
-#: table of at most MAP_BITS / 64 rows; an exact join follows it).
-MAP_BITS = 1 << 26
+#: Percent of the wanted similarity that a sketch must show where both sets have so
+#: many shingles: about five deviations of the estimate below 0.8. Smaller sets, whose
+#: comparison costs little, aren't held to it.
+ESTIMATE = ((128, 70), (32, 45))
+SKETCH = ("full1", "full2", "bit1", "bit2")
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -47,8 +47,8 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(windows(h, k))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Bin minima of a sorted non-empty set, empty bins densified."""
+def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin minima of a sorted non-empty set, empty bins densified; which were full."""
     bins = (s >> np.uint64(64 - BIN_BITS)).astype(np.int64)
     first = np.concatenate(([True], bins[1:] != bins[:-1]))
     full = np.zeros(1 << BIN_BITS, dtype=bool)
@@ -62,7 +62,7 @@ def signature(s: np.ndarray) -> np.ndarray:
         hit = full[at.astype(np.int64)]
         value[empty[hit]] = value[at[hit].astype(np.int64)]
         empty = empty[~hit]
-    return value
+    return value, full
 
 
 _BAND_SALT = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -77,23 +77,49 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return acc
 
 
+def sketch(value: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """SKETCH of a signature: full bins, and the lowest bit of each, of the first 128."""
+    bit = (value[:128] & np.uint64(1)).astype(bool) & full[:128]
+    return np.packbits(np.concatenate((full[:128], bit))).view(np.int64)
+
+
+def close(percent: int):
+    def run(x: Arrays, i, j) -> np.ndarray:
+        """Sizes and sketches allow the similarity. Two full bins with different
+        values have different bits every other time."""
+        either, both, unlike = 0, 0, 0
+        for full, bit in zip(SKETCH[:2], SKETCH[2:]):
+            f, g = x[full][i], x[full][j]
+            either = either + np.bitwise_count(f | g).astype(np.int64)
+            both = both + np.bitwise_count(f & g).astype(np.int64)
+            unlike = unlike + np.bitwise_count((x[bit][i] ^ x[bit][j]) & f & g).astype(np.int64)
+        fewer = np.minimum(x["size"][i], x["size"][j])
+        need = np.select([fewer >= n for n, _ in ESTIMATE], [e for _, e in ESTIMATE], -10_000)
+        return sizes_allow(x, i, j, percent) & (10_000 * (both - 2 * unlike) >= need * percent * either)
+
+    return run
+
+
 def _sketches(k: int, percent: int):
     #: Sets below this size reach the similarity with equal sets only, which need no bands.
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h1, h2, bands = [], [], [], []
+            n, h1, h2, bands, bits = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
                 raw = s.tobytes()
                 h1.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
                 h2.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
-                bands.append(as_int64(band_keys(signature(s))) if len(s) >= least else np.empty(0, dtype=np.int64))
+                sig = signature(s) if len(s) >= least else None
+                bands.append(np.empty(0, dtype=np.int64) if sig is None else as_int64(band_keys(sig[0])))
+                bits.append((0,) * len(SKETCH) if sig is None else sketch(*sig))
+            bits = np.asarray(bits, dtype=np.int64).reshape(-1, len(SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(bits.T))],
+                names=["doc_id", "n_shingles", "h1", "h2", "bands", *SKETCH],
             )
 
     return run
@@ -111,60 +137,50 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([size(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """classes(doc_id, n_shingles, bands) -> distinct (a, b), a < b, that share a
-    bucket with one of its centres and whose sizes allow the similarity."""
-    rows = classes.select(F.col("doc_id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    rank = F.xxhash64((F.col("band") % CENTRES), F.col("doc_id"))
-    centre = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("doc_id").alias("c"), F.col("n").alias("cn"))).alias("centre"), F.count("*").alias("m")).where("m > 1").select("key", "centre.c", "centre.cn")
-    pairs = rows.join(centre, "key").where((F.col("doc_id") != F.col("c")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
-    return pairs.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
-
-
-def apart_pairs(classes: DataFrame, found: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """classes(doc_id, n_shingles, bands), found(node, component), tried(a, b) ->
-    distinct (a, b), a < b, not in tried, that share a bucket, are in different
-    components and whose sizes allow the similarity."""
-    rows = classes.select(F.col("doc_id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    # With two members the one pair has been tried.
-    several = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
-    rows = rows.join(several, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = staged(rows, "members")
-    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-    sides = rows.join(mixed_keys, "key", "left_semi").groupBy("key", "component", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "n")).alias("side"))
-    sides = staged(sides.drop("part"), "sides")
-    x, y = sides.select("key", F.col("component").alias("cx"), F.col("side").alias("sx")), sides.select("key", F.col("component").alias("cy"), F.col("side").alias("sy"))
-    met = x.join(y, "key").where("cx < cy").select(F.explode("sx").alias("x"), "sy").select("x", F.explode("sy").alias("y"))
-    met = met.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
-
-
-def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id may be among ids: a bit map of hashed ids of fixed size."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    bit = F.expr("shiftleft(1L, cast(__at % 64 as int))")
-    words = ids.select(at.alias("__at")).select(F.floor(F.col("__at") / 64).alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
-    marked = docs.withColumn("__at", at).withColumn("__word", F.floor(F.col("__at") / 64))
-    return marked.join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__at", "__word", "__bits")
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, s: the full sets of the documents of distinct ids(doc_id)."""
 
     @F.pandas_udf("binary")
     def as_set(text: pd.Series) -> pd.Series:
         return text.map(lambda t: shingle_set(t, k).tobytes())
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(maybe_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", as_set("text").alias("s")), "sets")
+    return staged(maybe_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", as_set("text").alias("s")), "sets")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity."""
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     # Sets are too large to send around: the same plan at every size.
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     shared = both.select("a", "b", (F.octet_length("sa") / 8).cast("long").alias("na"), (F.octet_length("sb") / 8).cast("long").alias("nb"), _shared("sa", "sb").alias("i"))
-    return shared.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    return shared.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
+
+
+def alike(percent: int):
+    def index(payloads: list[bytes]):
+        """Sets of one group -> whether set i and each of sets j reach the similarity,
+        by an index from shingles to the sets that hold them."""
+        sets = [np.frombuffer(p, dtype=np.uint64) for p in payloads]
+        sizes = np.asarray([len(s) for s in sets])
+        shingles, held = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(held, kind="stable")
+        holders = np.repeat(np.arange(len(sets)), sizes)[order]
+        ends = np.cumsum(np.bincount(held, minlength=len(shingles)))
+        starts = np.concatenate(([0], ends[:-1]))
+        first = np.cumsum(sizes) - sizes
+
+        def run(i: int, js: np.ndarray) -> np.ndarray:
+            own = held[first[i] : first[i] + sizes[i]]
+            n = ends[own] - starts[own]
+            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(holders[at], minlength=len(sets))[js]
+            return 100 * common >= percent * (sizes[i] + sizes[js] - common)
+
+        return run
+
+    return index
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -175,23 +191,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     returned with a null component_id and kept. Rows that repeat a doc_id share
     its component. An empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = staged(docs.mapInArrow(_sketches(k, percent), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
+    made = staged(docs.mapInArrow(_sketches(k, percent), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
     usable = made.where("n_shingles > 0 and doc_id is not null")
     same = ["h1", "h2", "n_shingles"]
-    # Written, so that the join with it is one of plain exchanges, which Spark can split at a large class of copies.
-    reps = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    banded = usable.where(F.size("bands") > 0)
-    classes = banded.join(reps.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    pairs = staged(candidate_pairs(classes, percent), "pairs")
+    # Equal sets have equal bands. Written, so that the join with it is one of plain exchanges, which Spark can split at a large class of copies.
+    firsts = [F.first(c).alias(c) for c in ("bands", *SKETCH)]
+    reps = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *firsts), "classes")
     named = docs.where("doc_id is not null")
-    near = staged(confirmed(named, pairs, k, percent), "near")
-    apart = staged(apart_pairs(classes, components(near), pairs, percent), "pairs")
-    near = near.unionByName(confirmed(named, apart, k, percent))
+    rows = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"))
+    traits = reps.where(F.size("bands") > 0).select(F.col("rep").alias("node"), F.col("n_shingles").alias("size"), *SKETCH)
+    near = linked(rows, traits, close(percent), lambda pairs: confirmed(named, pairs, k, percent), lambda ids: sets_of(named, ids.select(F.col("node").alias("doc_id")), k).select(F.col("doc_id").alias("node"), F.col("s").alias("payload")), alike(percent), by_family=True)
+    reps = reps.select(*same, "rep", "copies")
+    usable = usable.select("doc_id", *same)
     copies = usable.join(reps.where("copies > 1").drop("copies"), same).where("doc_id <> rep").select(F.col("doc_id").alias("node"), "rep").distinct()
     # A doc_id that repeats with other texts belongs to several classes: those links go through the component search.
     several = copies.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
     loose = copies.join(several, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    found = components(near.unionByName(loose))
+    found = components(near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(loose)) if not loose.isEmpty() else near
     placed = copies.join(several, "node", "left_anti")
     both = placed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component")).unionByName(found)
     label = both.groupBy("node").agg(F.min("component").alias("component_id"))
