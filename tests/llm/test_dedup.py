@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tracewell.llm import components, lines, minhash, vectors
+from tracewell.llm import buckets, components, lines, minhash, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, doc string"
@@ -129,10 +129,35 @@ def edits(a, b):
     return prev[-1]
 
 
+def alike(a, b):
+    a, b = " ".join(norm(a)), " ".join(norm(b))
+    return lines.within(a, b, max(len(a), len(b)) * 20 // 100)  # held to edits() below
+
+
+def line_groups(rows):
+    """Brute force by plain edit similarity, no sketch: the lines that go."""
+    places = sorted((d, n, line) for d, t in rows if t and d is not None for n, line in enumerate(t.split("\n")) if norm(line))
+    links = [(j, i) for i in range(len(places)) for j in range(i) if alike(places[i][2], places[j][2])]
+    root = groups(range(len(places)), links)
+    return {places[i][:2] for i in root if root[i] != i}
+
+
+def made_up(rnd, n):
+    return ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé", k=rnd.randint(3, 9))) for _ in range(n)]
+
+
+def edited(rnd, words, most):
+    """words with one change for every few words: replaced, left out or put in."""
+    w = list(words)
+    for _ in range(rnd.randint(1, max(1, int(len(w) * most)))):
+        at = rnd.randrange(len(w))
+        w[at : at + rnd.choice((0, 1, 1, 1))] = made_up(rnd, rnd.choice((0, 1, 1, 1)) if len(w) > 6 else 1)
+    return w
+
+
 def test_lines_equal_brute_force(spark):
     rnd = random.Random(11)
-    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "se") for b in ("ra", "né", "vo", "x")]
-    pool = [" ".join(rnd.choices(vocab, k=rnd.randint(3, 40))) for _ in range(40)]
+    pool = [" ".join(made_up(rnd, rnd.randint(1, 40))) for _ in range(40)]
     rows = []
     for d in range(60):
         own = []
@@ -140,36 +165,89 @@ def test_lines_equal_brute_force(spark):
             line = rnd.choice(pool)
             if rnd.random() < 0.3:
                 line = line.upper() + "!!"
-            elif rnd.random() < 0.3:
-                line += " 12"
+            elif rnd.random() < 0.3 and line.count(" ") > 24:
+                line = " ".join(edited(rnd, line.split(" "), 0.02)) + " 12"
             own.append(line)
-        rows.append((d, "\n".join(own), "x"))
-    rows += [(90, None, "x"), (91, "", "x"), (None, pool[0], "x")]
-    places = [(d, n, norm(line)) for d, t, _ in rows if t and d is not None for n, line in enumerate(t.split("\n"))]
-    places = [p for p in places if len(p[2]) >= lines.MIN_WORDS]
-    _, sims, _ = lines.line_values([[w.encode() for w in p[2]] for p in places])
-    links = []
-    for i in range(len(places)):
-        for j in range(i):
-            a, b = " ".join(places[i][2]), " ".join(places[j][2])
-            near = bin(int(sims[i] ^ sims[j])).count("1") <= lines.DISTANCE
-            if a == b or near and edits(a, b) <= max(len(a), len(b)) * (100 - lines.PERCENT) // 100:
-                links.append((j, i))
-    root = groups(range(len(places)), links)
-    want = {places[i][:2] for i in range(len(places)) if root[i] != i}
-    df = spark.createDataFrame(rows, "doc_id long, text string, line_no string")
-    assert {tuple(r) for r in lines.repeated_lines(df).collect()} == want
+        rows.append((d, "\n".join(own)))
+    rows += [(90, None), (91, ""), (92, " - \n\n..."), (None, pool[0]), (93, "y" * 5000 + " z\n" + " ".join(["q"] * 3000)), (94, " ".join(["q"] * 2999) + "\n" + "y" * 5000 + " z")]
+    want = line_groups([r for r in rows if r[0] not in (93, 94)]) | {(94, 0), (94, 1)}
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dropped string")
+    assert {(r.doc_id, r.line_no) for r in lines.repeated_lines(df).collect()} == want
     out = {r.doc_id: r for r in lines.deduped(df).collect()}
-    assert len(out) == len(rows) and out[90].n_lines == 0 and all(out[d].n_dropped == sum(p[0] == d for p in want) for d in range(60))
+    assert len(out) == len(rows) and out[90].n_lines == 0 and all(out[d].n_dropped == sum(p[0] == d for p in want) for d, _ in rows)
     left = lines.drop_repeated_lines(df)
     assert left.columns == df.columns
     texts = {r.doc_id: r.text for r in left.collect()}
-    for d, t, _ in rows:
+    for d, t in rows:
         kept = [x for n, x in enumerate((t or "").split("\n")) if (d, n) not in want]
         assert texts.get(d) == (t if t is None else "\n".join(kept)) if kept else d not in texts
     assert lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_lines_recall_against_plain_edit_similarity(spark):
+    rnd = random.Random(12)
+    rows, true = [], 0
+    for i in range(400):
+        base = made_up(rnd, int(8 * 1.01 ** rnd.randrange(250)))
+        other = edited(rnd, base, 0.2)
+        if alike(" ".join(base), " ".join(other)):
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+            true += 1
+        else:
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(made_up(rnd, 9)))]
+    gone = {r.doc_id for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert true > 150 and all(d % 2 and alike(texts[d], texts[d - 1]) for d in gone)
+    assert len(gone) >= 0.9 * true
+
+
+def test_lines_of_repeated_doc_ids(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    swapped = "seven eight nine ten eleven twelve one two three four five six"
+    rows = [(1, "x"), (1, f"a b c d e f g\nsome other line\n{line}"), (2, swapped), (1, None), (3, f"new\n{line}"), (3, f"new\n{line}"), (None, "x"), (None, "x")]
+    got = lines.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, list(r.dropped)) for r in got) == sorted([(1, 1, []), (1, 3, []), (2, 1, []), (1, 0, []), (3, 2, [1]), (3, 2, [1]), (0, 1, []), (0, 1, [])])
+
+
+def test_lines_that_a_star_leaves_apart(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        half, other = made_up(rnd, 12), made_up(rnd, 12)
+        a, b = half + other, half[:4] + other + half[4:]
+        rows += [(3 * i, " ".join(a)), (3 * i + 1, " ".join(b)), (3 * i + 2, " ".join(b) + "x")]
+    gone = {r.doc_id for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {d for d, _ in line_groups(rows)} and len(gone) >= 60
+
+
+def test_edit_bound():
+    rnd = random.Random(7)
+    for _ in range(500):
+        a = "".join(rnd.choices("abc", k=rnd.randint(0, 30)))
+        b = "".join(rnd.choices("abc", k=rnd.randint(0, 30))) if rnd.random() < 0.5 else "".join(c for c in a if rnd.random() < 0.9)
+        w = rnd.choices([a, b, "é", "xyz"], k=rnd.randint(1, 12))
+        if rnd.random() < 0.5:
+            a, b = " ".join(w), " ".join(edited(rnd, w, 0.3))
+        for most in (0, 2, 7, 40):
+            assert lines.within(a, b, most) == (edits(a, b) <= most)
+
+
+@pytest.mark.parametrize("by_family", [True, False])
+def test_large_buckets_are_parted(spark, monkeypatch, by_family):
+    monkeypatch.setattr(buckets, "PART", 16)
+    monkeypatch.setattr(buckets, "CELLS", 16)
+    monkeypatch.setattr(buckets, "SMALL", 8)
+    rows = [(1, i) for i in range(200)] + [(2, i) for i in range(300, 303)] + [(b, 400 + b) for b in range(10, 14)]
+    df = spark.createDataFrame(rows, "bucket long, node long")
+    assert buckets.light_and_parted(df).groupBy("bucket").count().where("count > 64").count() == 0
+    traits = df.selectExpr("node", "100L as size", "if(node < 300, node % 7, 0L) as s")
+    alike = lambda a, b: a % 14 == b % 14 or min(a, b) >= 300
+    close = lambda x, i, j: x["s"][i] == x["s"][j]
+    exact = lambda payloads: lambda i, js: np.asarray([alike(int(payloads[i]), int(payloads[j])) for j in js.tolist()], dtype=bool)
+    got = buckets.linked(df, traits, close, lambda pairs: pairs.where("a % 14 = b % 14 or a >= 300"), lambda ids: ids.selectExpr("node", "cast(cast(node as string) as binary) as payload"), exact, by_family)
+    assert {r.node: r.component for r in got.collect()} == {**{i: i % 14 for i in range(200)}, **dict.fromkeys((300, 301, 302), 300)}
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
