@@ -7,8 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that are no keywords.
-STOPWORDS = "the and for are was were been have has had that this these those with from they them their what when where which who will would could should can may might must shall does did done not but nor its our your his her all any each such than then also into over under about only".split()
+#: Words that are no keywords (normative ones such as shall and must are).
+STOPWORDS = (
+    "a an the this that these those "
+    "i you he she it we they me him her us them "
+    "in on at to for of with by from up about into through during before after above below between "
+    "and or but nor so yet both either neither "
+    "is am are was were be been being have has had having do does did doing will would could might can "
+    "get got make made let "
+    "not if when where how what which who whom whose all each every any some no none other such only own same than too very"
+).split()
 
 
 def clean_body(text: Column, collapse: bool = False) -> Column:

@@ -50,20 +50,23 @@ def credits(found: DataFrame, results: DataFrame, steps: DataFrame) -> DataFrame
 
     Tests never feed `implemented`; a journey gives its verified share."""
     kind = F.col("source_type")
-    own = ("req_id", "label", "source_id", "source_type")
-    no = F.lit(False)
-
-    def rows(df: DataFrame, dim: str, named: str, credit: Column, failing: Column) -> DataFrame:
-        return df.select("req_id", "label", F.lit(dim).alias("dim"), (kind == named).alias("named"), credit.cast("double").alias("credit"), failing.alias("failing"))
-
-    code, tested, uat = found.where(kind.isin("direct", "code_indirect")), found.where(kind.startswith("test")), found.where(kind.startswith("uat"))
-    ran = tested.select(*own).join(verdicts(results).withColumnRenamed("test_id", "source_id"), "source_id")
-    walked = uat.select(*own).join(journey_verdicts(steps).withColumnRenamed("journey_id", "source_id").withColumnRenamed("failing", "f"), "source_id")
-    out = rows(code, "implemented", "direct", F.lit(1.0), no)
-    out = out.unionByName(rows(tested, "tested", "test_direct", F.lit(1.0), no))
-    out = out.unionByName(rows(ran, "verified", "test_direct", F.when(F.col("passed"), 1.0).otherwise(0.0), F.col("failed")))
-    out = out.unionByName(rows(uat, "uat_coverage", "uat_explicit", F.lit(1.0), no))
-    return out.unionByName(rows(walked, "uat_verified", "uat_explicit", F.col("verified") / F.col("steps"), F.col("f")))
+    return credits_by_kind(found.where(kind.isin("direct", "code_indirect")), found.where(kind.startswith("test")), found.where(kind.startswith("uat")), results, steps)
+
+
+def credits_by_kind(code: DataFrame, tested: DataFrame, uat: DataFrame, results: DataFrame, steps: DataFrame) -> DataFrame:
+    """credits of contributions by code, by tests and by journeys: each is read once,
+    and gives the row of its own dimension and, where it ran, that of the next."""
+
+    def rows(df: DataFrame, named: str, dim: str, ran_dim: str, ran: Column, credit: Column, failing: Column) -> DataFrame:
+        row = lambda d, c, f: F.struct(F.lit(d).alias("dim"), (F.col("source_type") == named).alias("named"), c.cast("double").alias("credit"), f.alias("failing"))
+        both = F.array_compact(F.array(row(dim, F.lit(1.0), F.lit(False)), F.when(ran, row(ran_dim, credit, failing))))
+        return df.select("req_id", "label", F.inline(both))
+
+    ran = tested.join(verdicts(results).select(F.col("test_id").alias("source_id"), "passed", "failed"), "source_id", "left")
+    walked = uat.join(journey_verdicts(steps).withColumnRenamed("journey_id", "source_id"), "source_id", "left")
+    out = code.select("req_id", "label", F.lit("implemented").alias("dim"), (F.col("source_type") == "direct").alias("named"), F.lit(1.0).alias("credit"), F.lit(False).alias("failing"))
+    out = out.unionByName(rows(ran, "test_direct", "tested", "verified", F.col("passed").isNotNull(), F.when(F.col("passed"), 1.0).otherwise(0.0), F.col("failed")))
+    return out.unionByName(rows(walked, "uat_explicit", "uat_coverage", "uat_verified", F.col("steps").isNotNull(), F.col("verified") / F.col("steps"), F.col("failing")))
 
 
 def measures(assertions: DataFrame, credit: DataFrame) -> DataFrame:

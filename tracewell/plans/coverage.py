@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.storage import staged
 from tracewell.operators import coverage as cov
 from tracewell.plans.estate import Estate
 from tracewell.plans.registry import query
@@ -15,7 +16,13 @@ def contributions_of(e: Estate) -> DataFrame:
 
 
 def measures_of(e: Estate) -> DataFrame:
-    return cov.measures(e.assertions, cov.credits(contributions_of(e), e.results, e.steps))
+    """Written once for each estate: queries read it up to five times."""
+    if "measures" not in e.written:
+        code = cov.credited(e.implements, e.assertions, "direct", "code_indirect")
+        tested = cov.credited(e.verifies, e.assertions, "test_direct", "test_indirect")
+        uat = cov.credited(e.validates, e.assertions, "uat_explicit", "uat_inferred")
+        e.written["measures"] = staged(cov.measures(e.assertions, cov.credits_by_kind(code, tested, uat, e.results, e.steps)), "measures")
+    return e.written["measures"]
 
 
 def population_of(e: Estate) -> DataFrame:

@@ -26,7 +26,7 @@ requirements AS (
   UNION ALL SELECT r_name, 'N' || n_nationkey, 'OPS', 'Active', n_name FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT r_name, 'C' || c_custkey, 'DEV', CASE c_mktsegment WHEN 'MACHINERY' THEN 'Draft' WHEN 'HOUSEHOLD' THEN 'Roadmap' WHEN 'FURNITURE' THEN 'Deprecated' ELSE 'Active' END, c_name FROM placed
   UNION ALL SELECT r_name, 'O' || o_orderkey, 'DEV', CASE o_orderstatus WHEN 'F' THEN 'Active' WHEN 'O' THEN 'Draft' ELSE 'Deprecated' END, o_orderpriority FROM orders JOIN placed ON o_custkey = c_custkey),
-assertions AS (
+assertions AS MATERIALIZED (
   SELECT id AS req_id, label FROM requirements, (VALUES ('A'), ('B')) t(label) WHERE id NOT LIKE 'O%'
   UNION ALL SELECT DISTINCT 'O' || l_orderkey, chr(64 + l_linenumber) FROM lineitem),
 refines AS (
@@ -40,7 +40,7 @@ verifies AS (SELECT DISTINCT 'O' || l_orderkey AS req_id, test_id AS source_id,
 results AS (SELECT test_id, CASE l_returnflag WHEN 'A' THEN 'passed' WHEN 'R' THEN 'failed' ELSE 'skipped' END AS status, l_shipdate < TIMESTAMP '1997-01-01' AS carried FROM tests),
 steps AS (SELECT 'J' || conv_id AS journey_id, 'J' || conv_id || '/' || (turn + 1) AS step_id, CASE length(text) % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE 'skipped' END AS status FROM conversations WHERE role = 'user'),
 validates AS (SELECT DISTINCT 'O' || conv_id AS req_id, 'J' || conv_id AS source_id, CASE WHEN conv_id % 2 = 0 THEN 'A' END AS label FROM conversations),
-contributions AS (
+contributions AS MATERIALIZED (
   SELECT DISTINCT e.req_id, a.label, e.source_id, CASE WHEN e.label IS NULL THEN blanket ELSE named END AS source_type FROM (
     SELECT *, 'direct' AS named, 'code_indirect' AS blanket FROM implements
     UNION ALL SELECT *, 'test_direct', 'test_indirect' FROM verifies
@@ -55,7 +55,7 @@ credits AS (
   UNION ALL SELECT req_id, label, 'uat_coverage', source_type = 'uat_explicit', 1.0, false FROM contributions WHERE source_type LIKE 'uat%'
   UNION ALL SELECT req_id, label, 'uat_verified', source_type = 'uat_explicit', verified::DOUBLE / steps, failing FROM contributions JOIN journey_verdicts ON source_id = journey_id WHERE source_type LIKE 'uat%'),
 dims AS (SELECT * FROM (VALUES ('implemented'), ('tested'), ('verified'), ('uat_coverage'), ('uat_verified')) t(dim)),
-measures AS (
+measures AS MATERIALIZED (
   SELECT a.req_id, a.label, d.dim, coalesce(max(credit) FILTER (WHERE named), 0.0) AS immediate_direct, coalesce(max(credit) FILTER (WHERE NOT named), 0.0) AS immediate_indirect, coalesce(bool_or(failing), false) AS failing
   FROM assertions a CROSS JOIN dims d LEFT JOIN credits c ON c.req_id = a.req_id AND c.label = a.label AND c.dim = d.dim GROUP BY a.req_id, a.label, d.dim),
 totals AS (SELECT *, greatest(immediate_direct, immediate_indirect) AS total FROM measures),
@@ -76,6 +76,8 @@ class Estate:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        #: Tables that a query of this estate has written, by name.
+        self.written: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -114,7 +116,10 @@ class Estate:
 
     @cached_property
     def assertions(self) -> DataFrame:
-        upper = self.requirements.where(~F.col("id").startswith("O")).select(F.col("id").alias("req_id"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("label"))
+        ids = self.table("region").select(F.concat(F.lit("R"), "r_regionkey").alias("req_id"))
+        ids = ids.unionByName(self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("N"), "n_nationkey").alias("req_id")))
+        ids = ids.unionByName(self.placed.select(F.concat(F.lit("C"), "c_custkey").alias("req_id")))
+        upper = ids.select("req_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("label"))
         lines = self.table("lineitem").select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("req_id"), line_label().alias("label")).distinct()
         return upper.unionByName(lines)
 
