@@ -19,17 +19,19 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def test_warc_round_trip(spark):
     big = "é" * 600
-    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", big), (7, "u", "")]
+    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "", None), (None, "u", big), (7, "u", "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
+    assert warc.read_archive(spark, warc.write_archive(df, "2024-01-31T00:00:00Z")).where("not contains(decode(record, 'UTF-8'), 'WARC-Date: 2024-01-31T00:00:00Z')").count() == 0
     got = {r.page_id: r for r in warc.read_archive(spark, warc.write_archive(df)).collect()}
     assert len(got) == len(rows)
-    for i, _, html in rows:
+    for i, url, html in rows:
         body = (html or "").encode()
         r = got[i]
         assert (r.payload_bytes, r.payload_digest, bytes(r.payload)) == (len(body), hashlib.sha1(body).hexdigest(), body)
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         n = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
         assert head.startswith(b"WARC/1.1\r\n") and rest[n:] == b"\r\n\r\n" and b"X: y" not in head.split(b"\r\n")
+        assert r.url == url and len(re.findall(rb"\r\nWARC-(?:Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ|Record-ID: <[^>]+>)(?=\r)", head)) == 2
         if r.record_type == "response":
             assert rest[:n].endswith(body)
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), None: ("revisit", 3), **{i: ("response", None) for i in (4, 5, 6, 7)}}

@@ -12,6 +12,7 @@ by their own ids, so a payload that a third of all pages share moves once."""
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ from tracewell.llm.common import shared_dir, staged
 
 #: Payloads of fewer bytes are written as responses even when they repeat.
 REVISIT_BYTES = 1000
+_UNFIT = r"[\x00-\x20\x7f]"
+_EXACT = "Exact-Target-URI"
 _NO_ID = -(1 << 63)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -34,17 +37,22 @@ def _http(length: Column) -> Column:
     return F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
 
 
-def _header(row: dict[str, Column]) -> Column:
+def _header(row: dict[str, Column], date: str) -> Column:
     http = _http(row["length"])
     revisit = row["refers_to"].isNotNull()
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(row["length"])
-    uri = F.regexp_replace(row["url"], r"[\x00-\x20\x7f]", "%20")
+    uri = F.regexp_replace(row["url"], _UNFIT, "%20")
+    # A url that can't stand in a header line, or is empty, goes along in base 64 too.
+    exact = F.when((uri != row["url"]) | (row["url"] == ""), F.regexp_replace(F.base64(row["url"].cast("binary")), r"\s", ""))
+    own = F.coalesce(row["page_id"].cast("string"), F.concat(F.lit("none:"), F.sha2(F.concat_ws(" ", row["sha256"], F.coalesce(row["url"], F.lit("-"))), 256)))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), row["page_id"].cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), own, F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", uri),
+        line(_EXACT, F.concat(F.lit("base64,"), exact)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), row["sha1"])),
         line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), row["refers_to"].cast("string"), F.lit(">"))),
         line("WARC-Profile", F.when(revisit, F.lit(_PROFILE))),
@@ -55,14 +63,16 @@ def _header(row: dict[str, Column]) -> Column:
     )
 
 
-def write_archive(pages: DataFrame) -> Archive:
+def write_archive(pages: DataFrame, date: str | None = None) -> Archive:
     """pages(page_id, url, html, ...) -> an archive with one record per row.
 
     The payload is the html in UTF-8; null is empty. Among rows of equal payload
     of at least REVISIT_BYTES, that with the largest page_id is a response and
     the others revisit it; rows that repeat that page_id too are responses of
-    the same stored payload. A null page_id is smaller than any other, and a
-    null url leaves its header line out."""
+    the same stored payload. A null page_id is smaller than any other; the id of its
+    record is made of payload and url, so rows that repeat both share it. A null url
+    leaves its header line out. date (UTC, such as 2024-01-31T00:00:00Z) is that of
+    all records: pages have none of their own; by default the time of this call."""
     spark = pages.sparkSession
     base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     made = Archive(f"{base}/headers", f"{base}/payloads")
@@ -81,7 +91,7 @@ def write_archive(pages: DataFrame) -> Archive:
     rows = index.join(keepers, "sha256")
     refers = F.when((F.col("length") >= REVISIT_BYTES) & (F.col("k") < F.col("keeper")), F.col("keeper"))
     rows = rows.select("page_id", "url", "sha256", "sha1", "length", refers.alias("refers_to"))
-    header = _header({c: F.col(c) for c in rows.columns})
+    header = _header({c: F.col(c) for c in rows.columns}, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     rows.select(header.cast("binary").alias("header"), "sha256").write.option("compression", "zstd").parquet(made.headers)
     return made
 
@@ -97,8 +107,10 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     text = F.col("header").cast("string")
     field = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
     number = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    told = F.unbase64(F.substring(field(_EXACT), len("base64,") + 1, 1 << 30)).cast("string")
+    url = F.when(field(_EXACT).isNotNull(), told).otherwise(field("WARC-Target-URI"))
     headers = spark.read.schema("header binary, sha256 string").parquet(archive.headers).select(
-        "header", "sha256", number("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), F.substring(field("WARC-Payload-Digest"), 6, 40).alias("declared")
+        "header", "sha256", number("WARC-Record-ID").alias("page_id"), url.alias("url"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), F.substring(field("WARC-Payload-Digest"), 6, 40).alias("declared")
     )
     both = headers.join(payloads, "sha256")
     digest = F.when(F.col("declared") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("record and payload digests differ")).cast("string"))
