@@ -84,6 +84,15 @@ def test_mixing_of_odd_tables(spark):
     assert mixing.in_mixed_order(twice).count() == 3
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "source", "share", "t", "before", "n_of", "nth", "row", "n", "__position", "a.b"]
+    rows = [(i if i % 3 else None, "ab"[i % 2], *[f"{c}{i}" for c in names[2:]]) for i in range(50)]
+    docs = spark.createDataFrame(rows, names)
+    out = mixing.in_mixed_order(docs)
+    assert out.columns == names and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, rows))
+    assert mixing.mixed(docs).count() == 50
+
+
 def base(text):
     w = WORD.findall(text or "")
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))

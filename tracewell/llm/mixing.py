@@ -4,7 +4,9 @@ Each source's documents, in a hash order, are cut into blocks. Target weights
 become whole shares of a period of slots; block k of a source of share s may
 start at slot floor(k * period / s) and must end by ceil((k + 1) * period / s).
 In each slot the startable block of the earliest deadline runs, so while all
-sources last, none is a whole block ahead of or behind its weight. The period's
+sources last, none is a whole block ahead of or behind its share. A share differs
+from its weight by less than one slot of a period's 1024, so against the weight a
+source may gain or lose up to one more block in each 1024 slots. The period's
 schedule repeats; a source that has run out leaves its slots to the next ones.
 Every document gets one place; none is dropped or repeated.
 
@@ -33,8 +35,9 @@ def _source(docs: DataFrame) -> Column:
     return F.coalesce(docs["source"].cast("string"), F.lit(""))
 
 
-def _order(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def _order(docs: DataFrame) -> Column:
+    """Hash that orders a source; rows without an id are spread by their columns."""
+    return F.md5(F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("none "), F.xxhash64(docs["row"]))))
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None) -> DataFrame:
@@ -76,8 +79,8 @@ def schedule(shared: DataFrame) -> DataFrame:
 
 
 def ranked(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """docs with __source and __rank, the place in its source's hash order (0 first)."""
-    order = _order(docs["doc_id"])
+    """docs(row, doc_id, source) with __source and __rank, the place in its source's hash order (0 first)."""
+    order = _order(docs)
     df = docs.withColumn("__source", _source(docs)).withColumn("__order", order)
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET))
     sizes = counts.select(F.col("source").alias("__source"), buckets.alias("__buckets"))
@@ -92,11 +95,12 @@ def ranked(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """docs with __source, __block (of its source), __slot and __position (0 first,
-    gapless): its place in the mixture.
+    """row (a struct of docs' columns, so that no name can clash), __source, __block (of
+    its source), __slot and __position (0 first, gapless): its place in the mixture.
 
     A null source counts as the empty name. Sources missing from `weights` get the
     least weight given. Rows of equal doc_id take neighbouring places, in no order."""
+    docs = docs.select(F.struct("*").alias("row"), "doc_id", "source")
     counts = staged(docs.groupBy(_source(docs).alias("source")).agg(F.count("*").alias("n")), "sources")
     plan = staged(schedule(shares(counts, weights)), "schedule")
     df = ranked(docs, counts).withColumn("__block", F.floor(F.col("__rank") / block))
@@ -107,13 +111,13 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     df = df.join(F.broadcast(slots), ["__source", "nth"])
     ahead = F.zip_with(F.zip_with("before", "share_of", lambda b, s: (F.col("__round") * s + b) * block), "n_of", lambda x, n: F.least(x, n))
     df = df.withColumn("__position", F.aggregate(ahead, F.lit(0).cast("long"), lambda a, x: a + x) + F.col("__rank") % block).withColumn("__slot", F.col("__round") * PERIOD + F.col("t"))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], "__source", F.col("__block").cast("long").alias("__block"), F.col("__slot").cast("long").alias("__slot"), "__position")
+    return df.select("row", "__source", F.col("__block").cast("long").alias("__block"), F.col("__slot").cast("long").alias("__slot"), "__position")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, source, block, slot, position of every document."""
     out = placed(docs.select("doc_id", "source"), weights, block)
-    return out.select("doc_id", F.col("__source").alias("source"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
+    return out.select("row.doc_id", F.col("__source").alias("source"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, per_file: int = 16_384) -> DataFrame:
@@ -122,4 +126,4 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, blo
     out = placed(docs, weights, block)
     n = docs.count()
     parts = max(1, -(-n // per_file))
-    return out.repartitionById(parts, F.floor(F.col("__position") / per_file).cast("int")).sortWithinPartitions("__position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.repartitionById(parts, F.floor(F.col("__position") / per_file).cast("int")).sortWithinPartitions("__position").select("row.*")
