@@ -217,6 +217,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that a smaller doc_id of their group stands for."""
+    """docs without the documents that a smaller doc_id of their group stands for. Of
+    rows that repeat a doc_id one stays, that with the smallest hash of its text."""
     gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    twice = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return left
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("*"), F.xxhash64("text")).alias("row")).select("row.*")
+    return left.join(twice, "doc_id", "left_anti").unionByName(one)
