@@ -32,17 +32,21 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     return reduce(DataFrame.unionByName, seen)
 
 
-def paths(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
+def paths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Traversal that yields a node once per path: node, depth, path (node ids from
-    the root). Only back edges are cut."""
+    the root). Only back edges are cut. Without a max_depth, paths of more than
+    MAX_ROUNDS steps are an error."""
     front = staged(roots.select("node", F.array("node").alias("path")), "walk")
     seen = [front.withColumn("depth", F.lit(0))]
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, (max_depth or MAX_ROUNDS) + 1):
         step = front.join(edges.select("src", "dst"), F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         front = staged(step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")), "walk")
         if front.isEmpty():
             break
         seen.append(front.withColumn("depth", F.lit(depth)))
+    else:
+        if max_depth is None:
+            raise RuntimeError(f"paths did not end in {MAX_ROUNDS} steps")
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -104,6 +108,8 @@ def conducted(labels: DataFrame, edges: DataFrame) -> DataFrame:
             break
         rolled.append(rows.select("node", "label", "rolled"))
         done = done.unionByName(new)
+    else:
+        raise RuntimeError(f"values did not settle in {MAX_ROUNDS} rounds")
     out = reduce(DataFrame.unionByName, rolled) if rolled else labels.select("node", "label", F.lit(0.0).alias("rolled")).limit(0)
     return labels.select("node", "label").join(out, ["node", "label"], "left").select("node", "label", F.coalesce("rolled", F.lit(0.0)).alias("rolled"))
 

@@ -77,10 +77,10 @@ def read_coverage_json(e: Estate) -> DataFrame:
     return src.read_coverage_json(g.select(F.col("file").alias("path"), text.alias("text"))).select("file", "line", "hits")
 
 
-@query("SELECT 'comment' AS event, event_id::VARCHAR AS id, 'R' || user_id AS anchor, '' AS parent FROM events WHERE event_type = 'signup'")
+@query("SELECT 'comment' AS event, event_id::VARCHAR AS id, 'R' || user_id AS anchor, '' AS parent FROM events")
 def load_comment_events(e: Estate) -> DataFrame:
     row = F.to_json(F.struct(F.lit("comment").alias("event"), F.col("event_id").cast("string").alias("id"), F.concat(F.lit("R"), "user_id").alias("anchor")))
-    lines = e.table("events").where("event_type = 'signup'").select(row.alias("text"))
+    lines = e.table("events").select(row.alias("text"))
     return src.read_comment_events(lines).select("event", "id", "anchor", "parent")
 
 
@@ -121,3 +121,16 @@ def write_trace_json(e: Estate) -> DataFrame:
     path = f"{shared_dir(e.spark)}/trace-{uuid.uuid4().hex}"
     df.write.json(path)
     return e.spark.read.schema(df.schema).json(path).select("id", "coverage.implemented", "coverage.tested")
+
+
+@query("""SELECT f AS file, count(*) AS lines, sum(length(line) + 1)::BIGINT AS n_chars, md5(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS digest
+FROM (SELECT c_custkey // 500 AS f, c_name || ': ' || c_mktsegment AS line FROM customer WHERE c_custkey // 500 % 7 <> 6) GROUP BY f""")
+def scan_corpus(e: Estate) -> DataFrame:
+    """Texts of 500 customers each, written as files, and read as one row per file;
+    files of the folders 6, 13, 20 and so on are skipped, and those of another name."""
+    lines = e.table("customer").select(F.floor(F.col("c_custkey") / 500).alias("f"), F.concat("c_name", F.lit(": "), "c_mktsegment").alias("line"))
+    base = f"{shared_dir(e.spark)}/corpus-{uuid.uuid4().hex}"
+    lines.repartition("f").sortWithinPartitions("f", "line").withColumn("group", F.col("f") % 7).write.partitionBy("group", "f").text(base)
+    found = src.files(e.spark, base, "*.txt", "/group=6/")
+    text = F.col("text")
+    return found.select(F.regexp_extract("path", r"/f=(\d+)/", 1).cast("long").alias("file"), F.regexp_count(text, F.lit("\n")).cast("long").alias("lines"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))

@@ -59,9 +59,9 @@ def definition_hash(e: Estate) -> DataFrame:
     return terms(e).select("item_id", fn.content_hash(F.concat("definition", F.lit("\nsource="), "term")).alias("hash"))
 
 
-@query("SELECT doc_id, 'A. ' || trim(regexp_replace(regexp_replace(left(text, 200), chr(10), ' ', 'g'), ' +', ' ', 'g')) AS assertion FROM documents")
+@query("SELECT doc_id, 'A. ' || trim(regexp_replace(regexp_replace(text, chr(10), ' ', 'g'), ' +', ' ', 'g')) AS assertion FROM documents")
 def normalize_assertion(e: Estate) -> DataFrame:
-    return e.table("documents").select("doc_id", fn.normalized_assertion(F.lit("A"), F.left("text", F.lit(200))).alias("assertion"))
+    return e.table("documents").select("doc_id", fn.normalized_assertion(F.lit("A"), F.col("text")).alias("assertion"))
 
 
 _SCORE = """scored AS (SELECT id, CASE WHEN a > 0 AND b > 0 AND NOT (contains(lower(id), '13') OR contains(lower(title), '13') OR contains(lower(body), '13')) THEN a + b ELSE 0 END AS score FROM (

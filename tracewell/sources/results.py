@@ -23,7 +23,7 @@ MESSAGE = 200
 def files(spark: SparkSession, folder: str, pattern: str = "*", skip: str | None = None) -> DataFrame:
     """path, text of every file below a folder whose name fits; skip is an
     expression on the path. A file is one row: keep single files within memory."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    df = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return df.where(~F.col("path").rlike(skip)) if skip else df
 
