@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from tracewell.llm import licences, mixing, packing, quality, tokencount, urls, warc
@@ -261,13 +262,48 @@ def test_licences_on_held_out_notices(spark):
         304: (None, []),
         305: ("", []),
         306: ("Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", ["cc-by-nc", "mit"]),
+        307: ("Some code.\nGNU GPL v3 or later.\n" + "A calm sentence about stones. " * 20_000, ["gpl"]),
+        308: ("CC0 1.0 Universal", ["public-domain"]),
+        None: ("Released under the MIT License.", ["mit"]),
     }
     df = spark.createDataFrame(plain + [(i, t, "x") for i, (t, _) in marked.items()], "doc_id long, text string, family string")
     got = {r.doc_id: r.families for r in licences.scanned(df).collect()}
-    assert len(got) == 207 and {i: got[i] for i in marked} == {i: f for i, (_, f) in marked.items()}
+    assert len(got) == 210 and {i: got[i] for i in marked} == {i: f for i, (_, f) in marked.items()}
     assert not any(got[i] for i in range(200))
 
 
+def test_licences_equal_scoring_by_hand(spark):
+    plain = [(i, f"Plain sentence number {i}. Another calm sentence about rivers and stones.\n  \nUnder the terms of trade {i} all went well!") for i in range(120)]
+    notices = [f"{t} It is {i} years old." for i, ts in enumerate(licences.TEMPLATES.values()) for t in ts]
+    rows = plain + [(1000 + i, t) for i, t in enumerate(notices)] + [(1000, notices[1]), (1001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licences.Classifier(df)
+    tf, lr = model.model.stages
+    weights, start = lr.coefficientMatrix.toArray(), np.array(lr.interceptVector)
+    held = licences.template_grams()
+    every = {g for grams in held.values() for g in grams}
+    want = []
+    for i, text in rows:
+        for part in (x for line in (text or "").split("\n") for x in regex.split(r"(?<=[.!?])\s+(?=\p{Lu})", line) if x.strip(" ")):
+            w = [x for x in regex.split(r"[^\p{L}\p{N}]+", part.lower()) if x]
+            v = np.zeros(licences.FEATURES)
+            for g in w + [f"{a} {b}" for a, b in zip(w, w[1:])] + ([f"^ {w[0]}"] if w else []):
+                v[tf.indexOf(g)] += 1
+            z = weights @ v + start
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            guess = model.names[int(p.argmax())]
+            grams = {" ".join(w[j : j + 3]) for j in range(max(1, len(w) - 2))}
+            if guess != licences.ORDINARY and grams & every:
+                sure = p.max() >= model.threshold and 2 * len(grams & set(held[guess])) >= len(grams)
+                want.append((i, part, guess if sure else licences.UNKNOWN))
+    got = [(r.doc_id, r.paragraph, r.family) for r in licences.found(df, model).collect()]
+    assert sorted(got) == sorted(want) and {f for _, _, f in got} >= set(licences.TEMPLATES)
+
+
+def test_licences_of_an_empty_table(spark):
+    assert licences.scanned(spark.createDataFrame([], "doc_id long, text string, g string")).count() == 0
+
+
 def url_verdict(url):
     host = path = ""
     if url and "://" in url:
