@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as fn
-from tracewell.operators import changes, closure, coverage, references, windows
+from tracewell.operators import changes, closure, coverage, matching, references, windows
 from tracewell.sources import results as src
 from tracewell.streaming import logs
 
@@ -166,3 +166,35 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("The Data-Base and-- HTTPServer, data-base x",)], "t string")
     row = df.select(fn.keywords(F.col("t")).alias("k"), fn.camel_to_snake(F.lit("HTTPServerError")).alias("s"), fn.candidate_functions(F.lit("test_a_b_c")).alias("c")).first()
     assert row.k == ["data-base", "httpserver"] and row.s == "http_server_error" and row.c == ["a_b_c", "a_b", "a"]
+
+
+def test_results_bind_to_the_closest_scope(spark):
+    tests = spark.createDataFrame([("t1", "a.py", 1, "J1/2"), ("t2", "a.py", 5, None), ("t3", "b.py", 7, "J1/2"), ("t4", None, 1, "J1/2")], "test_id string, file string, line int, step string")
+    rows = [
+        ("step", "walk J1/2 and J1/2", "a.py", 5, None, None),
+        ("several", "J1/2 J1/3", "a.py", 5, "b.py", 7),
+        ("root", "x", "a.py", 9, "b.py", 7),
+        ("file", "x", "a.py", None, "b.py", 8),
+        ("none", None, "c.py", 1, None, None),
+        ("nowhere", "J1/2", None, 1, None, 1),
+    ]
+    results = spark.createDataFrame(rows + rows[:1], "result_id string, name string, file string, line int, root_file string, root_line int")
+    got = sorted(tuple(r) for r in matching.source_matches(results, tests).collect())
+    assert got == [("file", "t1", "file"), ("file", "t2", "file"), ("root", "t3", "root_line"), ("several", "t2", "line"), ("step", "t1", "step")]
+    assert [tuple(r) for r in matching.step_matches(results, tests).collect()] == [("step", "t1")]
+    assert matching.source_matches(results.limit(0), tests).count() == matching.source_matches(results, tests.limit(0)).count() == 0
+
+
+def test_unread_items_and_file_names(spark):
+    want = {"P 1": ("malformed", "not_an_identifier"), "PP1_A": ("malformed", "separator"), "P1-a": ("malformed", "label_form"), "P1234": ("malformed", "component_out_of_range"), "P1x": ("malformed", "identifier_with_trailing_text"), "Q1": ("unknown_namespace", None)}
+    df = spark.createDataFrame([(i,) for i in want], "item string").select("item", matching.unmatched(F.col("item"), ["P", "PP"], 3).alias("f")).select("item", "f.*")
+    assert {r[0]: (r[1], r[2]) for r in df.collect()} == want
+    paths = spark.createDataFrame([("a/Roadmap/x.y.md", "CAL"), (None, None), (".md", "")], "path string, prefix string")
+    got = [tuple(r.d) for r in paths.select(matching.display_info(F.col("path"), F.col("prefix")).alias("d")).collect()]
+    assert got == [(True, "x.y.md", "x.y", "CAL"), (False, "", "", "CORE"), (False, ".md", ".md", "CORE")]
+
+
+def test_searches_as_users_write_them():
+    t = fn.Terms.of('A OR b c -d "E f" OR g AND h')
+    assert (t.groups, t.excluded, t.phrases) == ([["a", "b"], ["c"], ["g"], ["h"]], ["d"], ["e f"])
+    assert fn.Terms.of("OR a").groups == [["a"]] and not fn.Terms.of("  ").groups

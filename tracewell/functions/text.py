@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,6 +68,24 @@ class Terms:
         self.groups = [[t.lower() for t in g] for g in groups]
         self.excluded, self.phrases = [t.lower() for t in excluded], [p.lower() for p in phrases]
 
+    @classmethod
+    def of(cls, raw: str) -> Terms:
+        """Terms of a search as users write it: words must all hit, `a OR b` is one group,
+        `-a` excludes, `"a b"` is a phrase; OR joins single words only. Blank searches have no groups."""
+        groups, excluded, phrases, either, after_word = [], [], [], False, False
+        for phrase, word in re.findall(r'"([^"]+)"|([^\s"]+)', raw):
+            if phrase:
+                phrases.append(phrase)
+            elif word == "OR":
+                either, after_word = after_word, False
+                continue
+            elif word.startswith("-") and len(word) > 1:
+                excluded.append(word[1:])
+            elif word != "AND":
+                groups[-1].append(word) if either else groups.append([word])
+            either, after_word = False, not phrase and not word.startswith("-")
+        return cls(groups, excluded, phrases)
+
     def score(self, node_id: Column, title: Column, body: Column, words: Column) -> Column:
         """id 100, title 50, keyword 40 (part of one 25), body 10: the most per
         alternative and per group, summed over groups."""

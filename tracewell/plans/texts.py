@@ -143,3 +143,13 @@ def comment_id(e: Estate) -> DataFrame:
     day = F.date_format(F.lit("2024-01-01").cast("date"), "yyyyMMdd")
     seed = F.concat(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "text")
     return e.table("conversations").select("conv_id", "turn", F.concat(F.lit("c-"), day, F.lit("-"), F.substring(F.sha2(seed, 256), 1, 6)).alias("comment_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(t, 'the') OR contains(t, 'qzq') THEN 10 ELSE 0 END + CASE WHEN contains(t, 'er') THEN 10 ELSE 0 END AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)
+WHERE (contains(t, 'the') OR contains(t, 'qzq')) AND contains(t, 'er') AND contains(t, 'of the') AND NOT contains(t, 'und')""")
+def parse_query_terms(e: Estate) -> DataFrame:
+    """A search as users write it, over the whole texts of all documents."""
+    wanted = fn.Terms.of('the OR qzq er -und "of the"')
+    none = F.lit("")
+    scored = e.table("documents").select("doc_id", wanted.score(none, none, F.col("text"), F.array().cast("array<string>")).alias("score"))
+    return scored.where("score > 0")
