@@ -201,11 +201,15 @@ def linked(vectors: DataFrame, least: float = 0.98, block: int = BLOCK) -> DataF
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    keyed = v.withColumn("cid", F.when(usable, F.xxhash64("label", F.xxhash64("embedding"), F.xxhash64(F.lit(1), F.col("embedding")))))
-    good = keyed.where("cid is not null")
+    # Equal vectors are told by 128 bits: two hashes of different seeds.
+    key = ["k1", "k2"]
+    keyed = v.withColumns({"k1": F.when(usable, F.xxhash64("label", "embedding")), "k2": F.when(usable, F.xxhash64(F.lit(1), F.col("embedding"), F.col("label")))})
+    good = keyed.where("k1 is not null")
     # Equal rows meet as ids first; the vector comes from the row of the least id.
-    heads = good.groupBy("cid").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    classes = staged(good.join(heads, ["cid", "vec_id"]).dropDuplicates(["cid"]).select("cid", "vec_id", "label", "copies", "embedding"), "vectors")
+    heads = good.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    firsts = good.join(heads, [*key, "vec_id"]).dropDuplicates(key)
+    # Numbered once: what follows reads the written numbers.
+    classes = staged(firsts.select(F.monotonically_increasing_id().alias("cid"), *key, "vec_id", "label", "copies", "embedding"), "vectors")
     sent = spark.sparkContext.broadcast(fitted_axes(classes))
     cells = [f"c{i}" for i in range(AXES)]
     placed = classes.select("cid", "label", "copies", "embedding").mapInArrow(_cells(sent, eps), "cid long, label long, copies long, embedding array<double>, dim int, " + ", ".join(f"{c} int" for c in cells))
@@ -218,11 +222,11 @@ def linked(vectors: DataFrame, least: float = 0.98, block: int = BLOCK) -> DataF
     found = staged(both.mapInArrow(_join(least), "node long, links long, root long"), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    of = classes.select(F.col("cid").alias("node"), "vec_id", "copies").join(roots, "node", "left").join(counts, "node", "left")
-    of = of.select("node", "vec_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of = classes.select(F.col("cid").alias("node"), *key, "vec_id", "copies").join(roots, "node", "left").join(counts, "node", "left")
+    of = of.select(*key, "vec_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least_id = of.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     # Written, so that Spark can split the join at a frequent vector.
-    by_class = staged(of.join(least_id, "component").select(F.col("node").alias("cid"), "n_links", "component_id"), "classes")
-    out = keyed.select("vec_id", "cid").join(by_class, "cid", "left")
+    by_class = staged(of.join(least_id, "component").select(*key, "n_links", "component_id"), "classes")
+    out = keyed.select("vec_id", *key).join(by_class, key, "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
