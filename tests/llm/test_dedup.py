@@ -114,6 +114,19 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(101), 0), 500: 500, 501: 500, 502: 500}
 
 
+@pytest.mark.parametrize("chunk", (7, 1 << 18))
+def test_components_in_chunks_of_any_size(spark, chunk):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(500)] + [(1000, 2000 + i) for i in range(300)] + [(1000, 2000)] * 5
+    for i in range(0, len(edges), chunk):
+        part = np.array(edges[i : i + chunk])
+        ends = components.stars(part[:, 0], part[:, 1])
+        assert dict(zip(*(x.tolist() for x in ends))) == {n: c for n, c in groups({n: 0 for n in part.ravel().tolist()}, part.tolist()).items() if n != c}
+    rows = components.components(spark.createDataFrame(edges, "a long, b long").repartition(9), chunk).collect()
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert len(rows) == len(linked) and {r.node: r.component for r in rows} == groups(dict.fromkeys(linked), [e for e in edges if e[0] != e[1]])
+
+
 def norm(line):
     folded = "".join("0" if c.isascii() and c.isdigit() else c if c.isalpha() or not c.isascii() else " " for c in line.lower())
     return folded.split()
