@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as fn
 from tracewell.operators import changes, closure, coverage, matching, references, windows
+from tracewell.operators import federation as fed
 from tracewell.sources import results as src
 from tracewell.streaming import logs
 
@@ -198,3 +199,16 @@ def test_searches_as_users_write_them():
     t = fn.Terms.of('A OR b c -d "E f" OR g AND h')
     assert (t.groups, t.excluded, t.phrases) == ([["a", "b"], ["c"], ["g"], ["h"]], ["d"], ["e f"])
     assert fn.Terms.of("OR a").groups == [["a"]] and not fn.Terms.of("  ").groups
+
+
+def test_expanded_names_what_an_owner_lacks(spark):
+    refs = spark.createDataFrame([("s", "x", "R-1-A+B"), ("s", "x", "R-1-A+B"), ("s", "x", "R-1-A"), ("s", "x", "R-1-A+A"), ("s", "x", "R-9-A+B"), ("t", "y", "R-1-A+B"), ("u", "x", None)], "source_id string, repo string, target string")
+    holders = spark.createDataFrame([("y", "R-1", "A"), ("z", "R-1", "B")], "repo string, req_id string, label string")
+    got = sorted(map(tuple, fed.expanded(refs, holders).collect()), key=repr)
+    assert got == [("s", "R-1-A+B", "y", "R-1", "A", None), ("s", "R-1-A+B", "y", "R-1", "B", "unknown_assertion"), ("t", "R-1-A+B", "z", "R-1", "A", "unknown_assertion"), ("t", "R-1-A+B", "z", "R-1", "B", None)]
+
+
+def test_templates_to_review(spark):
+    clones = spark.createDataFrame([("c::t", "t", "c"), ("d::t", "t", "d"), ("c::u", "u", "c"), ("c::v", "v", "c")], "id string, template string, declaring string")
+    hashes = spark.createDataFrame([("t", "aa", "bb"), ("u", "CC", "cc"), ("v", None, "dd")], "id string, stored string, current string")
+    assert sorted(map(tuple, fed.templates_to_review(clones, hashes).collect())) == [("c", "t", "aa"), ("d", "t", "aa")]

@@ -38,3 +38,29 @@ def deepest_dir(paths: DataFrame, dirs: DataFrame) -> DataFrame:
     keys = paths.distinct().select("path", F.inline(runs))
     hit = keys.join(dirs.distinct(), "dir")
     return hit.groupBy("path").agg(F.max_by("dir", F.struct("at", F.length("dir"))).alias("dir"))
+
+
+def expanded(refs: DataFrame, holders: DataFrame) -> DataFrame:
+    """refs(source_id, repo, target such as ID-A+B), holders(repo, req_id, label) ->
+    source_id, target, owner, req_id, label, class: references of two or more labels,
+    one row for each. The owner is the first other repository by name that holds one of
+    them; a label that it lacks is an unknown_assertion. References of fewer labels, or of
+    which no repository holds any, give no rows: they keep the class they have."""
+    cut = F.regexp_extract("target", r"^(.*)-([^-]*)$", 1)
+    labels = F.array_distinct(F.split(F.regexp_extract("target", r"^(.*)-([^-]*)$", 2), r"\+"))
+    wanted = refs.select("source_id", "repo", "target", cut.alias("req_id"), labels.alias("labels")).where(F.size("labels") > 1).distinct()
+    wanted = wanted.select("source_id", "repo", "target", "req_id", F.explode("labels").alias("label"))
+    held = holders.select(F.col("repo").alias("holder"), "req_id", "label").distinct()
+    met = wanted.join(held, ["req_id", "label"]).where("holder <> repo")
+    by_label = wanted.join(met, ["source_id", "repo", "target", "req_id", "label"], "left").groupBy("source_id", "repo", "target", "req_id", "label").agg(F.collect_set("holder").alias("holders"))
+    owner = met.groupBy("source_id", "repo", "target").agg(F.min("holder").alias("owner"))
+    fault = F.when(~F.array_contains("holders", F.col("owner")), "unknown_assertion")
+    return by_label.join(owner, ["source_id", "repo", "target"]).select("source_id", "target", "owner", "req_id", "label", fault.alias("class"))
+
+
+def templates_to_review(clones: DataFrame, hashes: DataFrame) -> DataFrame:
+    """clones(id, template, declaring), hashes(id, stored, current) -> declaring, template,
+    stored: who satisfies a template whose text isn't that of its stored hash. Hashes are
+    compared without case; a template without a stored hash isn't stale."""
+    stale = hashes.where(F.lower("stored") != F.lower("current")).select(F.col("id").alias("template"), "stored")
+    return clones.select("template", "declaring").distinct().join(stale, "template").select("declaring", "template", "stored")

@@ -228,3 +228,30 @@ def promote_orphans(e: Estate) -> DataFrame:
     alive = e.requirements.where("status = 'Active'").select(F.col("id").alias("node"))
     up = upward(e).where("depth > 0").join(alive, "node", "left_semi")
     return up.groupBy(F.col("seed").alias("id")).agg(F.min_by("node", F.struct("depth", "node")).alias("nearest"))
+
+
+_MULTI = """multi AS (SELECT DISTINCT 'S' || l_suppkey AS source_id, r_name AS repo, 'O' || (l_orderkey + l_suppkey % 2) || '-' || chr(64 + l_linenumber) || '+' || chr((65 + l_partkey % 7)::INT) AS target FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+named AS (SELECT *, split_part(target, '-', 1) AS req_id, unnest(list_distinct(string_split(split_part(target, '-', 2), '+'))) AS label FROM multi),
+several AS (SELECT * FROM named WHERE (source_id, repo, target) IN (SELECT (source_id, repo, target) FROM named GROUP BY source_id, repo, target HAVING count(*) > 1)),
+owned AS (SELECT s.source_id, s.target, s.req_id, s.label, r.repo AS owner, a.label IS NOT NULL AS held FROM several s JOIN requirements r ON r.id = s.req_id AND r.repo <> s.repo LEFT JOIN assertions a ON a.req_id = s.req_id AND a.label = s.label)"""
+
+
+@query("SELECT source_id, target, owner, req_id, label, CASE WHEN NOT held THEN 'unknown_assertion' END AS class FROM (SELECT *, bool_or(held) OVER (PARTITION BY source_id, target) AS any_held FROM owned) WHERE any_held", tables=_MULTI)
+def expand_foreign_multi(e: Estate) -> DataFrame:
+    """Suppliers name two lines of an order of another region's repository."""
+    where = e.table("nation").join(e.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = e.table("supplier").join(where, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("repo"))
+    target = F.concat(F.lit("O"), F.col("l_orderkey") + F.col("l_suppkey") % 2, F.lit("-"), F.char(F.col("l_linenumber") + 64), F.lit("+"), F.char(F.col("l_partkey") % 7 + 65))
+    refs = e.table("lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("source_id"), "repo", target.alias("target"))
+    return fed.expanded(refs, e.requirements.select("repo", F.col("id").alias("req_id")).join(e.assertions, "req_id"))
+
+
+@query("SELECT DISTINCT declaring, template, stored FROM clones JOIN (SELECT id, substr(sha256(title || ' ' || count(c_custkey) FILTER (WHERE c_acctbal >= 0)), 1, 8) AS stored, substr(sha256(title || ' ' || count(c_custkey)), 1, 8) AS current FROM requirements JOIN customer ON id = 'N' || c_nationkey GROUP BY id, title) h ON h.id = template WHERE stored <> current", tables=_SATISFIES)
+def stale_template_review(e: Estate) -> DataFrame:
+    """A nation's text names its number of customers; the stored hash is from before
+    those that owe money came."""
+    customers = e.table("customer").groupBy(F.concat(F.lit("N"), F.col("c_nationkey")).alias("id")).agg(F.count("*").alias("now"), F.count_if(F.col("c_acctbal") >= 0).alias("then"))
+    text = lambda n: F.substring(F.sha2(F.concat_ws(" ", "title", F.col(n).cast("string")), 256), 1, 8)
+    hashes = e.requirements.join(customers, "id").select("id", text("then").alias("stored"), text("now").alias("current"))
+    clones, _ = fed.instantiated(satisfies(e), e.requirements, e.assertions)
+    return fed.templates_to_review(clones, hashes)
