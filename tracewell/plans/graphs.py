@@ -140,12 +140,13 @@ def conduct_refines(e: Estate) -> DataFrame:
     return got.select(F.col("node").alias("req_id"), "label", r6("rolled").alias("rolled"))
 
 
-_CHOSEN = _UP + ", chosen AS (SELECT id FROM requirements WHERE level IN ('PRD', 'OPS') OR id IN ('C1', 'C2', 'C3', 'O1', 'O2'))"
+_CHOSEN = _UP + ", chosen AS (SELECT id FROM requirements WHERE status IN ('Draft', 'Roadmap'))"
 
 
 @query("SELECT c.id, coalesce(list_sort(list(seed) FILTER (WHERE seed IS NOT NULL)), []) AS superseded_by FROM chosen c LEFT JOIN (SELECT node, seed FROM up JOIN chosen ON seed = id WHERE depth > 0) ON node = c.id GROUP BY c.id", tables=_CHOSEN, recursive=True)
 def minimize_set(e: Estate) -> DataFrame:
-    chosen = e.requirements.where(F.col("level").isin("PRD", "OPS") | F.col("id").isin("C1", "C2", "C3", "O1", "O2")).select(F.col("id").alias("node"))
+    """Of all drafts and plans, those that a finer one stands for."""
+    chosen = e.requirements.where(F.col("status").isin("Draft", "Roadmap")).select(F.col("id").alias("node"))
     return graph.minimized(links(e), chosen).withColumnRenamed("node", "id")
 
 
