@@ -46,6 +46,35 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) ON x = d.doc_id"""
 
 
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+NEGATIVES = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+scored AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.e::DOUBLE[], b.e::DOUBLE[])::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+near AS (SELECT a, b AS p, s AS ps FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, (row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b))::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM near JOIN scored USING (a) WHERE NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) <= 10"""
+
+
+def _codes(parts: int, entries: int, rounds: int) -> str:
+    assigned = "SELECT p.vec_id, p.part, arg_min(c.entry, d.d * 16 + c.entry) AS entry, min(d.d) AS error FROM p JOIN c{i} c USING (part), LATERAL (SELECT list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d) d GROUP BY p.vec_id, p.part"
+    moved = """
+a{i} AS MATERIALIZED ({assigned}),
+s{i} AS (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM p JOIN a{i} USING (vec_id, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL),
+m{i} AS (SELECT part, entry, list((CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END)::BIGINT ORDER BY i) AS x FROM s{i} GROUP BY ALL),
+c{j} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (part, entry)),"""
+    steps = "".join(moved.format(i=i, j=i + 1, assigned=assigned.format(i=i)) for i in range(rounds))
+    return f"""
+WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE {_WHOLE}),
+p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // {parts} + 1 : (part + 1) * len(e) // {parts}] AS x FROM w, (SELECT unnest(range({parts})) AS part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM w QUALIFY entry < {entries}),
+c0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN first USING (vec_id)),{steps}
+given AS MATERIALIZED ({assigned.format(i=rounds)}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM given GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN w USING (vec_id), book"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -64,4 +93,4 @@ tried AS (SELECT *, CASE WHEN r IS NULL THEN CASE {tried} END END AS pattern FRO
 SELECT page_id, host, path, split_part(r, ' ', 2) AS rule, CASE WHEN r IS NOT NULL THEN split_part(r, ' ', 1) WHEN pattern IN ({blocked}) THEN 'block' ELSE 'allow' END AS verdict, pattern FROM tried"""
 
 
-ORACLE = {"op1_warc": WARC, "op2_mixing": MIXING, "op5_vectors": VECTORS, "op8_minhash": MINHASH, "op10_url_filter": _urls()}
+ORACLE = {"op1_warc": WARC, "op2_mixing": MIXING, "op5_vectors": VECTORS, "op8_minhash": MINHASH, "op10_url_filter": _urls(), "op11_hard_negatives": NEGATIVES, "op13_vector_codes": _codes(8, 16, 6)}

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import licences, lines, minhash, mixing, oracles, packing, quality, tokencount, urls, vectors, warc
+from tracewell.llm import codes, licences, lines, minhash, mixing, negatives, oracles, packing, quality, tokencount, urls, vectors, warc
 from tracewell.llm.common import table
 
 
@@ -52,7 +53,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
-OPERATORS = (op1_warc, op2_mixing, op3_quality_rules, op4_packing, op5_vectors, op6_token_counts, op7_licences, op8_minhash, op9_line_dedup, op10_url_filter)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = negatives.relabelled(F.col("label"), F.col("vec_id"))
+    return negatives.mined(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (op1_warc, op2_mixing, op3_quality_rules, op4_packing, op5_vectors, op6_token_counts, op7_licences, op8_minhash, op9_line_dedup, op10_url_filter, op11_hard_negatives, op13_vector_codes)
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLE = dict(oracles.ORACLE)
 if corpus_pipeline.ORACLE_SQL:
