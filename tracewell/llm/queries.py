@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import codes, licences, lines, minhash, mixing, negatives, oracles, packing, quality, tokencount, urls, vectors, warc
+from tracewell.llm import codes, language_model, licences, lines, minhash, mixing, negatives, oracles, packing, quality, tokencount, urls, vectors, warc
 from tracewell.llm.common import table
 
 
@@ -59,11 +59,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
-OPERATORS = (op1_warc, op2_mixing, op3_quality_rules, op4_packing, op5_vectors, op6_token_counts, op7_licences, op8_minhash, op9_line_dedup, op10_url_filter, op11_hard_negatives, op13_vector_codes)
+OPERATORS = (op1_warc, op2_mixing, op3_quality_rules, op4_packing, op5_vectors, op6_token_counts, op7_licences, op8_minhash, op9_line_dedup, op10_url_filter, op11_hard_negatives, op12_language_model, op13_vector_codes)
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLE = dict(oracles.ORACLE)
 if corpus_pipeline.ORACLE_SQL:
