@@ -41,7 +41,7 @@ from tracewell.llm.eliasfano import EliasFano
 
 MU2, MU3 = 50.0, 5.0
 FREQUENT, BUCKETS = 1 << 16, 1 << 18
-CELL = CHUNK = 1 << 21
+CELL, CHUNK = 1 << 20, 1 << 21
 STEPS = 2048
 #: No word holds a space, so these are no word's hashes.
 START, END = (xxhash.xxh64_intdigest(b) for b in (b" start", b" end"))
@@ -367,16 +367,17 @@ class Cell:
         self.docs = [_docs(r["docs"]) for r in rows]
         v, u, w, doc, learnt = [], [], [], [], []
         for k, p in enumerate(parts):
-            v.append(np.repeat(np.searchsorted(self.vs, each_v[k]), p[2]))
-            at = np.searchsorted(self.near, each_near[k])
+            # Whole arrays of a cell in 32 bits, until they are multiplied.
+            v.append(np.repeat(np.searchsorted(self.vs, each_v[k]).astype(np.int32), p[2]))
+            at = np.searchsorted(self.near, each_near[k]).astype(np.int32)
             u.append(at[p[3]])
             w.append(at[p[4]])
-            doc.append(p[5])
+            doc.append(p[5].astype(np.int32))
             learnt.append(self.docs[k][1][p[5]] < 2)
         self.sizes = [len(x) for x in doc]
-        self.v, self.u, self.w, self.doc, self.learnt = (np.concatenate([np.empty(0, np.int64), *x]) for x in (v, u, w, doc, learnt))
-        self.learnt = self.learnt.astype(bool)
-        lv, lu, lw = self.v[self.learnt], self.u[self.learnt], self.w[self.learnt]
+        self.v, self.u, self.w, self.doc, self.learnt = (np.concatenate(x) for x in (v, u, w, doc, learnt))
+        del parts, v, u, w, doc, learnt
+        lv, lu, lw = (x[self.learnt].astype(np.int64) for x in (self.v, self.u, self.w))
         # A spread word's pairs are counted over its whole grid, those of others here.
         spread = model.hot_at(self.vs)
         here = spread[lv] < 0
@@ -401,10 +402,10 @@ class Cell:
 
     def steps(self, trie: Trie) -> np.ndarray:
         """-log10 p of every token, in steps."""
-        out = np.zeros(len(self.v), dtype=np.int64)
+        out = np.zeros(len(self.v), dtype=np.int32)
         out[self.learnt] = trie.trigram_p[self.place]
         ask = np.flatnonzero(~self.learnt)
-        out[ask] = trie.steps(self.v[ask], self.u[ask], self.w[ask], self.p1[self.w[ask]])
+        out[ask] = trie.steps(*(x[ask].astype(np.int64) for x in (self.v, self.u, self.w)), self.p1[self.w[ask]])
         return out
 
 
