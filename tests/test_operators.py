@@ -1,10 +1,12 @@
 """Operators on hand-built tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as fn
-from tracewell.operators import changes, closure, coverage, matching, references, windows
+from tracewell.operators import changes, closure, conduction, coverage, matching, references, strong, windows
 from tracewell.operators import federation as fed
 from tracewell.sources import results as src
 from tracewell.streaming import logs
@@ -61,34 +63,100 @@ def test_minimized_diamond_keeps_the_leaf(spark):
 
 def test_cycles(spark):
     e = edges(spark, ("b", "c"), ("c", "d"), ("d", "b"), ("a", "b"), ("x", "y"), ("s", "s"))
-    assert {tuple(r) for r in closure.cycles(e).collect()} == {("b", "b"), ("c", "b"), ("d", "b"), ("s", "s")}
+    assert {tuple(r) for r in strong.strongly_connected(e).collect()} == {("b", "b"), ("c", "b"), ("d", "b"), ("s", "s")}
 
 
-def test_conduction_means_over_refining_nodes(spark):
-    labels = spark.createDataFrame([("p", "A", 0.0), ("p", "B", 0.0), ("x", "A", 1.0), ("y", "A", 0.0), ("y", "B", 1.0)], "node string, label string, value double")
-    e = spark.createDataFrame([("p", "x", "A"), ("p", "y", None), ("p", "bare", "B")], "src string, dst string, label string")
-    got = {(r.node, r.label): r.rolled for r in closure.conducted(labels, e).collect()}
-    assert got["p", "A"] == pytest.approx(0.75) and got["p", "B"] == pytest.approx(0.25) and got["x", "A"] == 0
+def conduct(spark, labels, edges, values=("v",)):
+    df = spark.createDataFrame(labels, "node string, label string, " + ", ".join(f"{v} double" for v in values))
+    out = conduction.conducted(df, spark.createDataFrame(edges, "src string, dst string, label string"), values)
+    return {(r.node, r.label): tuple(r[v] for v in values) for r in out.collect()}
+
+
+def walked(labels, edges, values):
+    """The rule as it is told: recursion with the nodes of the path at hand."""
+    of, kids = {}, {}
+    for n, label, *v in labels:
+        of.setdefault(n, {})[label] = v
+    for s, d, named in set(edges):
+        kids.setdefault(s, []).append((d, named))
+    none = [0.0] * len(values)
 
+    def rolled(n, label, path):
+        got = [worth(d, path) for d, named in kids.get(n, []) if named in (None, label)]
+        return [sum(x) / len(got) for x in zip(*got)] if got else None
 
-def test_conduction_gives_nothing_on_cycles(spark):
-    labels = spark.createDataFrame([("a", "A", 1.0), ("b", "A", 1.0)], "node string, label string, value double")
-    e = spark.createDataFrame([("a", "b", None), ("b", "a", None)], "src string, dst string, label string")
-    assert {r.rolled for r in closure.conducted(labels, e).collect()} == {0.0}
+    def worth(n, path):
+        if n in path or n not in of:
+            return none
+        best = [[max(a, b) for a, b in zip(v, rolled(n, label, path | {n}) or none)] for label, v in of[n].items()]
+        return [sum(x) / len(best) for x in zip(*best)]
+
+    return {(n, label): r for n, ls in of.items() for label in ls if (r := rolled(n, label, frozenset())) is not None}
+
+
+def test_conduction_means_over_refining_nodes(spark):
+    labels = [("p", "A", 0.0, 0.0), ("p", "B", 0.0, 1.0), ("x", "A", 1.0, 0.0), ("y", "A", 0.0, 1.0), ("y", "B", 1.0, 1.0)]
+    got = conduct(spark, labels, [("p", "x", "A"), ("p", "y", None), ("p", "bare", "B")], ("direct", "indirect"))
+    assert got == {("p", "A"): (0.75, 0.5), ("p", "B"): (0.25, 0.5)}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_conduction_equals_the_rule_on_random_graphs_with_cycles(spark, seed):
+    rng, n, values = random.Random(seed), 16, ("direct", "indirect")
+    labels = [(f"n{i}", x, rng.choice([0.0, 0.5, 1.0]), rng.choice([0.0, 1.0])) for i in range(n) for x in "ABC"[: rng.randrange(4)]]
+    edges = [(f"n{i}", f"n{rng.randrange(i + 1, n + 1)}", rng.choice([None, "A", "B"])) for i in range(n) for _ in range(rng.randrange(3))]
+    # A ring with a chord, below other nodes and above others, and a loop.
+    edges += [("n3", "n5", None), ("n5", "n7", "A"), ("n7", "n3", None), ("n5", "n3", "B"), ("n9", "n9", None)]
+    got, want = conduct(spark, labels, edges, values), walked(labels, edges, values)
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_conduction_without_edges(spark):
+    assert conduct(spark, [("a", "A", 1.0)], []) == {}
+
+
+def test_components_of_many_kinds(spark):
+    rng = random.Random(3)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(75)} | {(50, 50), (60, 61), (61, 60), (61, 62)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    near = {}
+    for s, d in pairs:
+        near.setdefault(s, set()).add(d)
+
+    def reach(s):
+        seen, left = set(), [s]
+        while left:
+            for d in near.get(left.pop(), ()):
+                if d not in seen:
+                    seen.add(d)
+                    left.append(d)
+        return seen
+
+    r = {s: reach(s) for s in {x for p in pairs for x in p}}
+    want = {(s, min(x for x in r if x in r[s] and s in r[x])) for s in r if s in r[s]}
+    assert {tuple(x) for x in strong.strongly_connected(e).collect()} == want and len(want) > 5
+    assert strong.strongly_connected(e.where("src = 60 and dst = 61")).count() == 0
 
 
 def test_measures_keep_named_and_blanket_apart(spark):
     a = spark.createDataFrame([("r", "A"), ("r", "B")], "req_id string, label string")
-    code = spark.createDataFrame([("r", "c1", "A"), ("r", "c2", "A"), ("r", "c3", None)], "req_id string, source_id string, label string")
-    none = code.limit(0)
-    found = coverage.contributions(code, none, none, a)
-    steps = spark.createDataFrame([], "journey_id string, step_id string, status string")
-    res = spark.createDataFrame([], "test_id string, status string, carried boolean")
-    m = {(r.label, r.dim): r for r in coverage.measures(a, coverage.credits(found, res, steps)).collect()}
+    edge = "req_id string, source_id string, label string"
+    code = spark.createDataFrame([("r", "c1", "A"), ("r", "c2", "A"), ("r", "c3", None)], edge)
+    verifies = spark.createDataFrame([("r", "t1", "B"), ("r", "t2", None)], edge)
+    res = spark.createDataFrame([("t1", "passed", False), ("t1", "failed", False), ("t2", "skipped", True)], "test_id string, status string, carried boolean")
+    steps = spark.createDataFrame([("j", "s1", "passed"), ("j", "s2", "skipped")], "journey_id string, step_id string, status string")
+    validates = spark.createDataFrame([("r", "j", "A")], edge)
+    wide = coverage.immediate(a, coverage.evidence(code, verifies, validates, res, steps))
+    m = {(r.label, r.dim): (r.immediate_direct, r.immediate_indirect, r.failing) for r in coverage.by_dimension(wide).collect()}
     assert len(m) == 10
-    assert (m["A", "implemented"].immediate_direct, m["A", "implemented"].immediate_indirect) == (1, 1)
-    assert (m["B", "implemented"].immediate_direct, m["B", "implemented"].immediate_indirect) == (0, 1)
-    assert m["A", "tested"].immediate_direct == 0
+    assert (m["A", "implemented"], m["B", "implemented"]) == ((1, 1, False), (0, 1, False))
+    assert (m["A", "tested"], m["B", "tested"]) == ((0, 1, False), (1, 1, False))
+    assert (m["A", "verified"], m["B", "verified"]) == ((0, 0, False), (1, 0, True))
+    assert (m["A", "uat_coverage"], m["A", "uat_verified"], m["B", "uat_verified"]) == ((1, 0, False), (0.5, 0, False), (0, 0, False))
+    rolled = spark.createDataFrame([("r", "B", 0.25, 0.5)], "node string, label string, implemented_direct double, implemented_indirect double")
+    four = {r.label: r for r in coverage.with_total(coverage.by_dimension(coverage.with_rolled(wide, rolled, "implemented"), "implemented", rolled=True)).collect()}
+    assert (four["B"].rolled_direct, four["B"].rolled_indirect, four["B"].total, four["A"].rolled_direct) == (0.25, 0.5, 1, 0)
 
 
 def test_journeys(spark):

@@ -75,58 +75,9 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: flo
     return score.select("node", "score")
 
 
-def conducted(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels(node, label, value), edges(src parent, dst child, label or null) ->
-    node, label, rolled: what refining nodes conduct to each label. A node's value
-    is the mean over its labels of the greater of own and rolled; a label's rolled
-    value is the mean over the nodes that refine it, by name or as a whole. Nodes
-    without labels are worth 0. Works up from the leaves, one round per height;
-    nodes on or above a cycle are never ready and conduct 0."""
-    edges = staged(edges.select("src", "dst", F.col("label").alias("named")).distinct(), "refining")
-    nodes = labels.select("node").unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    need = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("need"))
-    nodes = staged(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need")), "nodes")
-
-    def valued(rows: DataFrame, ready: DataFrame) -> DataFrame:
-        v = rows.groupBy("node").agg(F.avg(F.greatest("value", "rolled")).alias("v"))
-        return ready.select("node").join(v, "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("v"))
-
-    zero = labels.withColumn("rolled", F.lit(0.0))
-    leaves = nodes.where("need = 0")
-    done = staged(valued(zero.join(leaves, "node", "left_semi"), leaves), "values")
-    rolled: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        fed = edges.join(done.select(F.col("node").alias("dst"), "v"), "dst")
-        full = fed.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("have"))
-        ready = nodes.join(full, "node").where("have = need").join(done, "node", "left_anti").select("node")
-        got = labels.join(ready, "node", "left_semi").join(fed.select(F.col("src").alias("node"), "named", "v"), "node").where("named is null or named = label")
-        mean = got.groupBy("node", "label").agg(F.avg("v").alias("rolled"))
-        rows = labels.join(ready, "node", "left_semi").join(mean, ["node", "label"], "left").withColumn("rolled", F.coalesce("rolled", F.lit(0.0)))
-        rows = staged(rows, "rolled")
-        new = staged(valued(rows, ready), "values")
-        if new.isEmpty():
-            break
-        rolled.append(rows.select("node", "label", "rolled"))
-        done = done.unionByName(new)
-    else:
-        raise RuntimeError(f"values did not settle in {MAX_ROUNDS} rounds")
-    out = reduce(DataFrame.unionByName, rolled) if rolled else labels.select("node", "label", F.lit(0.0).alias("rolled")).limit(0)
-    return labels.select("node", "label").join(out, ["node", "label"], "left").select("node", "label", F.coalesce("rolled", F.lit(0.0)).alias("rolled"))
-
-
 def minimized(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """chosen(node) -> node, superseded_by (sorted; empty for those that stay): a
     node goes when another of the set descends from it."""
     down = closure(edges, chosen).where("depth > 0")
     inside = down.join(chosen.select("node"), "node", "left_semi").groupBy(F.col("seed").alias("node")).agg(F.sort_array(F.collect_set("node")).alias("superseded_by"))
     return chosen.select("node").distinct().join(inside, "node", "left").select("node", F.coalesce("superseded_by", F.array().cast("array<string>")).alias("superseded_by"))
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """node, cycle: nodes that reach themselves, with the least node of their cycle group."""
-    nodes = edges.select(F.col("src").alias("node")).distinct()
-    reach = staged(closure(edges, nodes).where("depth > 0").select("seed", "node"), "reach")
-    loops = edges.where("src = dst").select(F.col("src").alias("seed"), F.col("dst").alias("node"))
-    back = reach.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    mutual = reach.join(back, ["seed", "node"]).unionByName(loops)
-    return mutual.groupBy(F.col("seed").alias("node")).agg(F.least(F.min("node"), F.min("seed")).alias("cycle"))

@@ -6,6 +6,8 @@ counts for every one of them, and indirectly."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,42 +47,69 @@ def journey_verdicts(steps: DataFrame) -> DataFrame:
     return by_step.groupBy("journey_id").agg(F.count("*").alias("steps"), F.count_if(F.col("p") & ~F.col("f")).alias("verified"), F.bool_or("f").alias("failing"))
 
 
-def credits(found: DataFrame, results: DataFrame, steps: DataFrame) -> DataFrame:
-    """contributions -> req_id, label, dim, named, credit, failing.
+def evidence(implements: DataFrame | None = None, verifies: DataFrame | None = None, validates: DataFrame | None = None, results: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """req_id, label or null, a credit for each dimension (null without evidence), and
+    verified_failing, uat_failing: the best of all sources, one row per requirement and
+    label named, and one for those that name none. Tests never feed `implemented`; a
+    journey gives its verified share. What isn't given isn't read."""
+    one, none, no = F.lit(1.0), F.lit(None).cast("double"), F.lit(False)
+
+    def rows(df: DataFrame, failing: dict | None = None, **credit) -> DataFrame:
+        return df.select("req_id", "label", *[credit.get(d, none).cast("double").alias(d) for d in DIMENSIONS], *[(failing or {}).get(c, no).alias(c) for c in ("verified_failing", "uat_failing")])
+
+    parts = []
+    if implements is not None:
+        parts.append(rows(implements, implemented=one))
+    if verifies is not None:
+        ran = verifies if results is None else verifies.join(verdicts(results).withColumnRenamed("test_id", "source_id"), "source_id", "left")
+        verified = {} if results is None else {"verified": F.when(F.col("passed"), 1.0).when(F.col("passed").isNotNull(), 0.0), "failing": {"verified_failing": F.coalesce("failed", no)}}
+        parts.append(rows(ran, tested=one, **verified))
+    if validates is not None:
+        walked = validates if steps is None else validates.join(journey_verdicts(steps).withColumnRenamed("journey_id", "source_id"), "source_id", "left")
+        verified = {} if steps is None else {"uat_verified": F.col("verified") / F.col("steps"), "failing": {"uat_failing": F.coalesce(F.col("failing"), no)}}
+        parts.append(rows(walked, uat_coverage=one, **verified))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("req_id", "label").agg(*[F.max(d).alias(d) for d in DIMENSIONS], F.bool_or("verified_failing").alias("verified_failing"), F.bool_or("uat_failing").alias("uat_failing"))
+
+
+def immediate(assertions: DataFrame, found: DataFrame) -> DataFrame:
+    """assertions(req_id, label), evidence -> one row per assertion with a column pair
+    <dimension>_direct, <dimension>_indirect for each dimension, and the failing flags.
+    Sources are summed up before they meet the assertions."""
+    flags = ("verified_failing", "uat_failing")
+    named = found.where("label is not null").select("req_id", "label", *[F.col(d).alias(f"{d}_direct") for d in DIMENSIONS], *[F.col(c).alias(f"{c}_named") for c in flags])
+    blanket = found.where("label is null").select("req_id", *[F.col(d).alias(f"{d}_indirect") for d in DIMENSIONS], *[F.col(c).alias(f"{c}_whole") for c in flags])
+    m = assertions.select("req_id", "label").join(named, ["req_id", "label"], "left").join(blanket, "req_id", "left")
+    credit = [F.coalesce(f"{d}_{c}", F.lit(0.0)).alias(f"{d}_{c}") for d in DIMENSIONS for c in ("direct", "indirect")]
+    return m.select("req_id", "label", *credit, *[(F.coalesce(f"{c}_named", F.lit(False)) | F.coalesce(f"{c}_whole", F.lit(False))).alias(c) for c in flags])
+
 
-    Tests never feed `implemented`; a journey gives its verified share."""
-    kind = F.col("source_type")
-    return credits_by_kind(found.where(kind.isin("direct", "code_indirect")), found.where(kind.startswith("test")), found.where(kind.startswith("uat")), results, steps)
+def by_dimension(m: DataFrame, *dims: str, rolled: bool = False) -> DataFrame:
+    """Rows of immediate() -> one row per (requirement, label, dimension). Each dimension
+    is a branch of its own, so that a filter on `dim` leaves one scan of its columns."""
+    failing = {"verified": F.col("verified_failing"), "uat_verified": F.col("uat_failing")}
 
+    def one(d: str) -> DataFrame:
+        more = [F.col(f"{d}_rolled_{c}").alias(f"rolled_{c}") for c in ("direct", "indirect")] if rolled else []
+        return m.select("req_id", "label", F.lit(d).alias("dim"), F.col(f"{d}_direct").alias("immediate_direct"), F.col(f"{d}_indirect").alias("immediate_indirect"), *more, failing.get(d, F.lit(False)).alias("failing"))
 
-def credits_by_kind(code: DataFrame, tested: DataFrame, uat: DataFrame, results: DataFrame, steps: DataFrame) -> DataFrame:
-    """credits of contributions by code, by tests and by journeys: each is read once,
-    and gives the row of its own dimension and, where it ran, that of the next."""
+    return reduce(DataFrame.unionByName, map(one, dims or DIMENSIONS))
 
-    def rows(df: DataFrame, named: str, dim: str, ran_dim: str, ran: Column, credit: Column, failing: Column) -> DataFrame:
-        row = lambda d, c, f: F.struct(F.lit(d).alias("dim"), (F.col("source_type") == named).alias("named"), c.cast("double").alias("credit"), f.alias("failing"))
-        both = F.array_compact(F.array(row(dim, F.lit(1.0), F.lit(False)), F.when(ran, row(ran_dim, credit, failing))))
-        return df.select("req_id", "label", F.inline(both))
 
-    ran = tested.join(verdicts(results).select(F.col("test_id").alias("source_id"), "passed", "failed"), "source_id", "left")
-    walked = uat.join(journey_verdicts(steps).withColumnRenamed("journey_id", "source_id"), "source_id", "left")
-    out = code.select("req_id", "label", F.lit("implemented").alias("dim"), (F.col("source_type") == "direct").alias("named"), F.lit(1.0).alias("credit"), F.lit(False).alias("failing"))
-    out = out.unionByName(rows(ran, "test_direct", "tested", "verified", F.col("passed").isNotNull(), F.when(F.col("passed"), 1.0).otherwise(0.0), F.col("failed")))
-    return out.unionByName(rows(walked, "uat_explicit", "uat_coverage", "uat_verified", F.col("steps").isNotNull(), F.col("verified") / F.col("steps"), F.col("failing")))
+def with_rolled(m: DataFrame, conducted: DataFrame, *dims: str) -> DataFrame:
+    """Rows of immediate() with <dimension>_rolled_direct and _indirect, 0 where nothing
+    is conducted. conducted: node, label and <dimension>_direct, <dimension>_indirect."""
+    names = [(f"{d}_{c}", f"{d}_rolled_{c}") for d in dims or DIMENSIONS for c in ("direct", "indirect")]
+    rolled = conducted.select(F.col("node").alias("req_id"), "label", *[F.col(c).alias(n) for c, n in names])
+    return m.join(rolled, ["req_id", "label"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for _, n in names})
 
 
-def measures(assertions: DataFrame, credit: DataFrame) -> DataFrame:
-    """One row per (requirement, label, dimension), zero where there is no credit."""
-    every = assertions.select("req_id", "label", F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dim"), F.lit(None).cast("boolean").alias("named"), F.lit(0.0).alias("credit"), F.lit(False).alias("failing"))
-    # The zero rows make an outer join superfluous: one shuffle, with partial sums before it.
-    g = every.unionByName(credit).groupBy("req_id", "label", "dim")
-    named = F.coalesce("named", F.lit(False))
-    return g.agg(F.max(F.when(named, F.col("credit")).otherwise(0.0)).alias("immediate_direct"), F.max(F.when(~F.coalesce("named", F.lit(True)), F.col("credit")).otherwise(0.0)).alias("immediate_indirect"), F.bool_or("failing").alias("failing"))
+MEASURES = ("immediate_direct", "immediate_indirect", "rolled_direct", "rolled_indirect")
 
 
-def with_total(m: DataFrame, *more: str) -> DataFrame:
-    """The greatest of the measures per label."""
-    return m.withColumn("total", F.greatest("immediate_direct", "immediate_indirect", *more))
+def with_total(m: DataFrame) -> DataFrame:
+    """The greatest of the four measures per label."""
+    return m.withColumn("total", F.greatest(*MEASURES))
 
 
 def role(status: str, statuses: DataFrame, df: DataFrame) -> DataFrame:
@@ -115,7 +144,7 @@ def denominators(m: DataFrame, measure: str) -> DataFrame:
 def passing(m: DataFrame) -> DataFrame:
     """`verified` with no credit on failing labels."""
     v = m.where("dim = 'verified'")
-    return v.withColumns({c: F.when(F.col("failing"), 0.0).otherwise(F.col(c)) for c in ("immediate_direct", "immediate_indirect")}).withColumn("dim", F.lit("passing"))
+    return v.withColumns({c: F.when(F.col("failing"), 0.0).otherwise(F.col(c)) for c in MEASURES}).withColumn("dim", F.lit("passing"))
 
 
 def partition(m: DataFrame) -> DataFrame:

@@ -180,15 +180,6 @@ def foundations(e: Estate) -> DataFrame:
     return df.crossJoin(top).select("id", r6(score).alias("composite"))
 
 
-_RING = "ring AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation WHERE n_nationkey % 4 <> 0), reach(src, dst) AS (SELECT src, dst FROM ring UNION SELECT reach.src, ring.dst FROM reach JOIN ring ON reach.dst = ring.src)"
-
-
-@query("SELECT a.src AS node, least(min(a.dst), a.src) AS cycle FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src", tables=_RING, recursive=True)
-def satisfies_cycles(e: Estate) -> DataFrame:
-    k = F.col("n_nationkey")
-    return graph.cycles(e.table("nation").where(k % 4 != 0).select(k.alias("src"), ((k * 3 + 1) % 25).alias("dst")))
-
-
 @query("SELECT item_id, reverse(lower(term)) AS synonym, term FROM all_terms", tables=_TERMS)
 def term_lookup_synonym(e: Estate) -> DataFrame:
     t = terms(e)

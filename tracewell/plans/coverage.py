@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.storage import staged
 from tracewell.operators import coverage as cov
+from tracewell.operators.conduction import conducted
 from tracewell.plans.estate import Estate
 from tracewell.plans.registry import query
 
@@ -15,14 +16,44 @@ def contributions_of(e: Estate) -> DataFrame:
     return cov.contributions(e.implements, e.verifies, e.validates, e.assertions)
 
 
-def measures_of(e: Estate) -> DataFrame:
-    """Written once for each estate: queries read it up to five times."""
-    if "measures" not in e.written:
-        code = cov.credited(e.implements, e.assertions, "direct", "code_indirect")
-        tested = cov.credited(e.verifies, e.assertions, "test_direct", "test_indirect")
-        uat = cov.credited(e.validates, e.assertions, "uat_explicit", "uat_inferred")
-        e.written["measures"] = staged(cov.measures(e.assertions, cov.credits_by_kind(code, tested, uat, e.results, e.steps)), "measures")
-    return e.written["measures"]
+#: What a dimension's evidence is read from.
+_READ = {"implemented": ("implements",), "tested": ("verifies",), "verified": ("verifies", "results"), "uat_coverage": ("validates",), "uat_verified": ("validates", "steps")}
+
+
+def immediates(e: Estate, *dims: str) -> DataFrame:
+    """Immediate measures of the wanted dimensions, one row per assertion, written once for each estate."""
+    name = "immediate " + " ".join(sorted(dims))
+    if name not in e.written:
+        read = sorted({t for d in dims for t in _READ[d]})
+        # Repeated citations change no maximum: they needn't be made distinct first.
+        whole = {"implements": "implements_all", "verifies": "verifies_all"}
+        e.written[name] = staged(cov.immediate(e.assertions, cov.evidence(**{t: getattr(e, whole.get(t, t)) for t in read})), "immediate")
+    return e.written[name]
+
+
+def immediate_of(e: Estate, *dims: str) -> DataFrame:
+    """What is attached: one row per (requirement, label, dimension)."""
+    dims = dims or cov.DIMENSIONS
+    return cov.by_dimension(immediates(e, *dims), *dims)
+
+
+def conducted_of(e: Estate, *dims: str) -> DataFrame:
+    """What refining requirements conduct to each label: node, label and a column pair
+    <dimension>_direct, <dimension>_indirect, for labels that get anything from one."""
+    dims = dims or cov.DIMENSIONS
+    values = [f"{d}_{c}" for d in dims for c in ("direct", "indirect")]
+    labels = immediates(e, *dims).select(F.col("req_id").alias("node"), "label", *values)
+    known = e.requirements.select(F.col("id").alias("dst"))
+    return conducted(labels, e.refines.join(known, "dst", "left_semi"), values)
+
+
+def measures_of(e: Estate, *dims: str) -> DataFrame:
+    """All four measures of the wanted dimensions (all by default), written once for each estate."""
+    dims = dims or cov.DIMENSIONS
+    name = "measures " + " ".join(sorted(dims))
+    if name not in e.written:
+        e.written[name] = staged(cov.with_rolled(immediates(e, *dims), conducted_of(e, *dims), *dims), "measures")
+    return cov.by_dimension(e.written[name], *dims, rolled=True)
 
 
 def population_of(e: Estate) -> DataFrame:
@@ -30,7 +61,8 @@ def population_of(e: Estate) -> DataFrame:
 
 
 def r6(c):
-    return F.round(c, 6)
+    # A hair up, so that a tie falls the same way whatever the order of the sum.
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
 
 
 @query("SELECT req_id, label, source_type, count(*) AS sources FROM contributions GROUP BY ALL")
@@ -51,17 +83,17 @@ def assertion_coverage_pairs(e: Estate) -> DataFrame:
 
 @query("SELECT req_id, label, dim, immediate_direct, immediate_indirect FROM measures WHERE dim IN ('implemented', 'uat_coverage')")
 def implemented_uat_dims(e: Estate) -> DataFrame:
-    return measures_of(e).where("dim in ('implemented', 'uat_coverage')").select("req_id", "label", "dim", "immediate_direct", "immediate_indirect")
+    return immediate_of(e, "implemented", "uat_coverage").select("req_id", "label", "dim", "immediate_direct", "immediate_indirect")
 
 
-@query("SELECT req_id, label, dim, round(immediate_direct, 6) AS immediate_direct, round(immediate_indirect, 6) AS immediate_indirect, failing FROM measures WHERE dim NOT IN ('implemented', 'uat_coverage')")
+@query("SELECT req_id, label, dim, round(immediate_direct + 1e-9, 6) AS immediate_direct, round(immediate_indirect + 1e-9, 6) AS immediate_indirect, failing FROM measures WHERE dim NOT IN ('implemented', 'uat_coverage')")
 def test_dims(e: Estate) -> DataFrame:
-    return measures_of(e).where("dim not in ('implemented', 'uat_coverage')").select("req_id", "label", "dim", r6("immediate_direct").alias("immediate_direct"), r6("immediate_indirect").alias("immediate_indirect"), "failing")
+    return immediate_of(e, "tested", "verified", "uat_verified").select("req_id", "label", "dim", r6("immediate_direct").alias("immediate_direct"), r6("immediate_indirect").alias("immediate_indirect"), "failing")
 
 
 @query("SELECT req_id, label FROM measures WHERE dim = 'verified' AND failing")
 def failing_labels(e: Estate) -> DataFrame:
-    return measures_of(e).where("dim = 'verified' and failing").select("req_id", "label")
+    return immediate_of(e, "verified").where("failing").select("req_id", "label")
 
 
 @query("SELECT journey_id, steps, verified, CASE WHEN failing THEN 'failing' WHEN verified = steps THEN 'full' WHEN verified > 0 THEN 'partial' ELSE 'missing' END AS tier FROM journey_verdicts")
@@ -80,31 +112,32 @@ def carried_results(e: Estate) -> DataFrame:
     return cov.verdicts(e.results).select("test_id", "carried")
 
 
-@query("SELECT req_id, label, dim, round(total, 6) AS total FROM totals")
+@query("SELECT req_id, label, dim, round(total + 1e-9, 6) AS total FROM totals")
 def total_by_label(e: Estate) -> DataFrame:
     return cov.with_total(measures_of(e)).select("req_id", "label", "dim", r6("total").alias("total"))
 
 
-@query("SELECT req_id, dim, round(100 * sum(total) / count(*), 6) AS covered_pct FROM totals GROUP BY ALL")
+@query("SELECT req_id, dim, round(100 * sum(total) / count(*) + 1e-9, 6) AS covered_pct FROM totals GROUP BY ALL")
 def covered_pct(e: Estate) -> DataFrame:
     return cov.with_total(measures_of(e)).groupBy("req_id", "dim").agg(r6(100 * F.sum("total") / F.count("*")).alias("covered_pct"))
 
 
-@query("SELECT req_id, dim, round(sum(immediate_direct), 6) AS immediate_direct, round(sum(immediate_indirect), 6) AS immediate_indirect FROM measures GROUP BY ALL")
+@query("SELECT req_id, dim, " + ", ".join(f"round(sum({c}) + 1e-9, 6) AS {c}" for c in cov.MEASURES) + " FROM measures GROUP BY ALL")
 def dimension_measures(e: Estate) -> DataFrame:
-    return measures_of(e).groupBy("req_id", "dim").agg(r6(F.sum("immediate_direct")).alias("immediate_direct"), r6(F.sum("immediate_indirect")).alias("immediate_indirect"))
+    return measures_of(e).groupBy("req_id", "dim").agg(*[r6(F.sum(c)).alias(c) for c in cov.MEASURES])
 
 
-@query("""SELECT level, dim, count(DISTINCT req_id) AS requirements, count(*) AS assertions, round(sum(total), 6) AS covered, round(sum(immediate_direct), 6) AS direct, round(sum(immediate_indirect), 6) AS indirect
-FROM totals JOIN population ON req_id = id GROUP BY ALL""")
+@query("SELECT level, dim, count(DISTINCT req_id) AS requirements, count(*) AS assertions, round(sum(total) + 1e-9, 6) AS covered, " + ", ".join(f"round(sum({c}) + 1e-9, 6) AS {c}" for c in cov.MEASURES) + " FROM totals JOIN population ON req_id = id GROUP BY ALL")
 def aggregate_by_level(e: Estate) -> DataFrame:
-    m = cov.with_total(measures_of(e)).join(population_of(e).select(F.col("id").alias("req_id"), "level"), "req_id")
-    # Sums per requirement first: counting requirements then needs no distinct.
-    by_req = m.groupBy("req_id", "level", "dim").agg(F.count("*").alias("n"), F.sum("total").alias("t"), F.sum("immediate_direct").alias("d"), F.sum("immediate_indirect").alias("i"))
-    return by_req.groupBy("level", "dim").agg(F.count("*").alias("requirements"), F.sum("n").alias("assertions"), r6(F.sum("t")).alias("covered"), r6(F.sum("d")).alias("direct"), r6(F.sum("i")).alias("indirect"))
+    m = cov.with_total(measures_of(e))
+    sums = {"covered": "total"} | {c: c for c in cov.MEASURES}
+    # Sums per requirement first: counting requirements then needs no distinct, and the join no labels.
+    by_req = m.groupBy("req_id", "dim").agg(F.count("*").alias("assertions"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    placed = by_req.join(population_of(e).select(F.col("id").alias("req_id"), "level"), "req_id")
+    return placed.groupBy("level", "dim").agg(F.count("*").alias("requirements"), F.sum("assertions").alias("assertions"), *[r6(F.sum(n)).alias(n) for n in sums])
 
 
-@query("""SELECT dim, sum(n)::BIGINT AS assertions, round(sum(t), 6) AS covered, count(*) FILTER (WHERE t > 0) AS req_with_any, count(*) FILTER (WHERE d > 0) AS req_with_direct, bool_or(f) AS has_failures
+@query("""SELECT dim, sum(n)::BIGINT AS assertions, round(sum(t) + 1e-9, 6) AS covered, count(*) FILTER (WHERE t > 0) AS req_with_any, count(*) FILTER (WHERE d > 0) AS req_with_direct, bool_or(f) AS has_failures
 FROM (SELECT req_id, dim, count(*) AS n, sum(total) AS t, sum(immediate_direct) AS d, bool_or(failing) AS f FROM totals JOIN population ON req_id = id GROUP BY ALL) GROUP BY dim""")
 def aggregate_dimension(e: Estate) -> DataFrame:
     m = cov.with_total(measures_of(e)).join(population_of(e).select(F.col("id").alias("req_id")), "req_id", "left_semi")
@@ -153,28 +186,28 @@ _DENOM = "denominators AS (SELECT req_id, label, CASE dim WHEN 'implemented' THE
 
 @query("SELECT req_id, label, dim FROM denominators", tables=_DENOM)
 def denominator_labels(e: Estate) -> DataFrame:
-    return cov.denominators(measures_of(e), "immediate_direct")
+    return cov.denominators(immediate_of(e), "immediate_direct")
 
 
 @query("""SELECT req_id, dim, CASE WHEN bool_or(failing) THEN 'failing' WHEN sum(least(immediate_direct, 1.0)) >= count(*) - 1e-9 THEN 'full' WHEN sum(least(immediate_direct, 1.0)) > 1e-9 THEN 'partial' ELSE 'missing' END AS tier
 FROM measures JOIN denominators USING (req_id, label, dim) GROUP BY ALL""", tables=_DENOM)
 def relative_tier(e: Estate) -> DataFrame:
-    m = measures_of(e)
+    m = immediate_of(e)
     kept = m.join(cov.denominators(m, "immediate_direct"), ["req_id", "label", "dim"], "left_semi")
     return cov.absolute_tiers(kept, "immediate_direct")
 
 
-@query("SELECT req_id, label, CASE WHEN failing THEN 0.0 ELSE immediate_direct END AS immediate_direct, CASE WHEN failing THEN 0.0 ELSE immediate_indirect END AS immediate_indirect FROM measures WHERE dim = 'verified'")
+@query("SELECT req_id, label, " + ", ".join(f"CASE WHEN failing THEN 0.0 ELSE round({c} + 1e-9, 6) END AS {c}" for c in cov.MEASURES) + " FROM measures WHERE dim = 'verified'")
 def tested_and_passing(e: Estate) -> DataFrame:
-    return cov.passing(measures_of(e)).select("req_id", "label", "immediate_direct", "immediate_indirect")
+    return cov.passing(measures_of(e, "verified")).select("req_id", "label", *[r6(c).alias(c) for c in cov.MEASURES])
 
 
 _PARTS = """parts AS (SELECT t.req_id, t.label, CASE WHEN v.failing THEN 'failed' WHEN v.total > 0 THEN 'passed' ELSE 'awaiting' END AS state, t.total AS credit FROM totals t JOIN totals v ON t.req_id = v.req_id AND t.label = v.label AND v.dim = 'verified' WHERE t.dim = 'tested' AND t.total > 0)"""
 
 
-@query("SELECT req_id, state, round(sum(credit), 6) AS credit FROM parts GROUP BY ALL", tables=_PARTS)
+@query("SELECT req_id, state, round(sum(credit) + 1e-9, 6) AS credit FROM parts GROUP BY ALL", tables=_PARTS)
 def tested_partition(e: Estate) -> DataFrame:
-    return cov.partition(measures_of(e)).groupBy("req_id", "state").agg(r6(F.sum("credit")).alias("credit"))
+    return cov.partition(measures_of(e, "tested", "verified")).groupBy("req_id", "state").agg(r6(F.sum("credit")).alias("credit"))
 
 
 @query("SELECT req_id, count(*) AS covers FROM contributions WHERE source_type IN ('direct', 'code_indirect', 'test_direct', 'test_indirect') GROUP BY req_id")
@@ -184,7 +217,7 @@ def direct_coverage_for(e: Estate) -> DataFrame:
 
 @query("SELECT req_id, count(*) AS labels FROM measures WHERE dim = 'implemented' AND immediate_indirect > immediate_direct GROUP BY req_id")
 def whole_req_only(e: Estate) -> DataFrame:
-    return measures_of(e).where("dim = 'implemented' and immediate_indirect > immediate_direct").groupBy("req_id").agg(F.count("*").alias("labels"))
+    return immediate_of(e, "implemented").where("immediate_indirect > immediate_direct").groupBy("req_id").agg(F.count("*").alias("labels"))
 
 
 @query("""SELECT dim, count(*) AS assertions, count(*) FILTER (WHERE total > 0) AS covered, round(100.0 * count(*) FILTER (WHERE total > 0) / count(*), 1) AS pct FROM totals JOIN population ON req_id = id GROUP BY dim""")
@@ -196,12 +229,12 @@ def dimension_coverage_check(e: Estate) -> DataFrame:
 @query("""SELECT level, count(*) AS assertions, count(*) FILTER (WHERE total > 0) AS covered FROM totals JOIN population p ON req_id = id JOIN levels USING (level) WHERE dim = 'uat_coverage' AND expects_validation GROUP BY level""")
 def uat_coverage_check(e: Estate) -> DataFrame:
     wanted = population_of(e).join(F.broadcast(e.levels.where("expects_validation").select("level")), "level").select(F.col("id").alias("req_id"), "level")
-    m = cov.with_total(measures_of(e)).where("dim = 'uat_coverage'").join(wanted, "req_id")
+    m = cov.with_total(measures_of(e, "uat_coverage")).join(wanted, "req_id")
     return m.groupBy("level").agg(F.count("*").alias("assertions"), F.count_if(F.col("total") > 0).alias("covered"))
 
 
 @query("""SELECT req_id, max(s) FILTER (WHERE dim = 'implemented') AS implemented, max(s) FILTER (WHERE dim = 'tested') AS tested, max(s) FILTER (WHERE dim = 'verified') AS verified, max(s) FILTER (WHERE dim = 'uat_coverage') AS uat_coverage, max(s) FILTER (WHERE dim = 'uat_verified') AS uat_verified
-FROM (SELECT req_id, dim, round(sum(total), 6) AS s FROM totals GROUP BY ALL) GROUP BY req_id""")
+FROM (SELECT req_id, dim, round(sum(total) + 1e-9, 6) AS s FROM totals GROUP BY ALL) GROUP BY req_id""")
 def coverage_summary_node(e: Estate) -> DataFrame:
     g = cov.with_total(measures_of(e)).groupBy("req_id").pivot("dim", list(cov.DIMENSIONS)).agg(r6(F.sum("total")))
     return g
@@ -232,7 +265,7 @@ def count_by_repo(e: Estate) -> DataFrame:
 
 @query("SELECT count(*) FILTER (WHERE t >= n - 1e-9) AS full, count(*) FILTER (WHERE t < n - 1e-9 AND t > 1e-9) AS partial, count(*) FILTER (WHERE t <= 1e-9) AS none FROM (SELECT req_id, sum(total) AS t, count(*) AS n FROM totals WHERE dim = 'implemented' GROUP BY req_id)")
 def count_by_coverage(e: Estate) -> DataFrame:
-    g = cov.with_total(measures_of(e)).where("dim = 'implemented'").groupBy("req_id").agg(F.sum("total").alias("t"), F.count("*").alias("n"))
+    g = cov.with_total(measures_of(e, "implemented")).groupBy("req_id").agg(F.sum("total").alias("t"), F.count("*").alias("n"))
     full, none = F.col("t") >= F.col("n") - cov.EPS, F.col("t") <= cov.EPS
     return g.agg(F.count_if(full).alias("full"), F.count_if(~full & ~none).alias("partial"), F.count_if(none).alias("none"))
 

@@ -55,10 +55,30 @@ credits AS (
   UNION ALL SELECT req_id, label, 'uat_coverage', source_type = 'uat_explicit', 1.0, false FROM contributions WHERE source_type LIKE 'uat%'
   UNION ALL SELECT req_id, label, 'uat_verified', source_type = 'uat_explicit', verified::DOUBLE / steps, failing FROM contributions JOIN journey_verdicts ON source_id = journey_id WHERE source_type LIKE 'uat%'),
 dims AS (SELECT * FROM (VALUES ('implemented'), ('tested'), ('verified'), ('uat_coverage'), ('uat_verified')) t(dim)),
-measures AS MATERIALIZED (
+immediates AS MATERIALIZED (
   SELECT a.req_id, a.label, d.dim, coalesce(max(credit) FILTER (WHERE named), 0.0) AS immediate_direct, coalesce(max(credit) FILTER (WHERE NOT named), 0.0) AS immediate_indirect, coalesce(bool_or(failing), false) AS failing
   FROM assertions a CROSS JOIN dims d LEFT JOIN credits c ON c.req_id = a.req_id AND c.label = a.label AND c.dim = d.dim GROUP BY a.req_id, a.label, d.dim),
-totals AS (SELECT *, greatest(immediate_direct, immediate_indirect) AS total FROM measures),
+linked AS MATERIALIZED (SELECT DISTINCT src, dst, label AS named FROM refines WHERE dst IN (SELECT id FROM requirements)),
+w0 AS MATERIALIZED (SELECT r.id AS node, d.dim, coalesce(avg(immediate_direct), 0.0) AS d, coalesce(avg(immediate_indirect), 0.0) AS i FROM requirements r CROSS JOIN dims d LEFT JOIN immediates m ON m.req_id = r.id AND m.dim = d.dim WHERE r.id LIKE 'O%' GROUP BY ALL),
+g1 AS MATERIALIZED (SELECT f.src, f.named, v.dim, sum(v.d) AS d, sum(v.i) AS i, count(*) AS n FROM linked f JOIN w0 v ON v.node = f.dst WHERE f.src LIKE 'C%' GROUP BY ALL),
+k1 AS MATERIALIZED (SELECT req_id, label, dim, sum(d) / sum(n) AS d, sum(i) / sum(n) AS i FROM (
+  SELECT o.req_id, o.label, o.dim, g.d, g.i, g.n FROM immediates o JOIN g1 g ON g.src = o.req_id AND g.named = o.label AND g.dim = o.dim
+  UNION ALL SELECT o.req_id, o.label, o.dim, g.d, g.i, g.n FROM immediates o JOIN g1 g ON g.src = o.req_id AND g.dim = o.dim WHERE g.named IS NULL) GROUP BY ALL),
+w1 AS MATERIALIZED (SELECT req_id AS node, dim, avg(greatest(immediate_direct, coalesce(d, 0.0))) AS d, avg(greatest(immediate_indirect, coalesce(i, 0.0))) AS i FROM immediates LEFT JOIN k1 USING (req_id, label, dim) WHERE req_id LIKE 'C%' GROUP BY ALL),
+g2 AS MATERIALIZED (SELECT f.src, f.named, v.dim, sum(v.d) AS d, sum(v.i) AS i, count(*) AS n FROM linked f JOIN w1 v ON v.node = f.dst WHERE f.src LIKE 'N%' GROUP BY ALL),
+k2 AS MATERIALIZED (SELECT req_id, label, dim, sum(d) / sum(n) AS d, sum(i) / sum(n) AS i FROM (
+  SELECT o.req_id, o.label, o.dim, g.d, g.i, g.n FROM immediates o JOIN g2 g ON g.src = o.req_id AND g.named = o.label AND g.dim = o.dim
+  UNION ALL SELECT o.req_id, o.label, o.dim, g.d, g.i, g.n FROM immediates o JOIN g2 g ON g.src = o.req_id AND g.dim = o.dim WHERE g.named IS NULL) GROUP BY ALL),
+w2 AS MATERIALIZED (SELECT req_id AS node, dim, avg(greatest(immediate_direct, coalesce(d, 0.0))) AS d, avg(greatest(immediate_indirect, coalesce(i, 0.0))) AS i FROM immediates LEFT JOIN k2 USING (req_id, label, dim) WHERE req_id LIKE 'N%' GROUP BY ALL),
+g3 AS MATERIALIZED (SELECT f.src, f.named, v.dim, sum(v.d) AS d, sum(v.i) AS i, count(*) AS n FROM linked f JOIN w2 v ON v.node = f.dst WHERE f.src LIKE 'R%' GROUP BY ALL),
+k3 AS MATERIALIZED (SELECT req_id, label, dim, sum(d) / sum(n) AS d, sum(i) / sum(n) AS i FROM (
+  SELECT o.req_id, o.label, o.dim, g.d, g.i, g.n FROM immediates o JOIN g3 g ON g.src = o.req_id AND g.named = o.label AND g.dim = o.dim
+  UNION ALL SELECT o.req_id, o.label, o.dim, g.d, g.i, g.n FROM immediates o JOIN g3 g ON g.src = o.req_id AND g.dim = o.dim WHERE g.named IS NULL) GROUP BY ALL),
+w3 AS MATERIALIZED (SELECT req_id AS node, dim, avg(greatest(immediate_direct, coalesce(d, 0.0))) AS d, avg(greatest(immediate_indirect, coalesce(i, 0.0))) AS i FROM immediates LEFT JOIN k3 USING (req_id, label, dim) WHERE req_id LIKE 'R%' GROUP BY ALL),
+measures AS MATERIALIZED (
+  SELECT m.req_id, m.label, m.dim, immediate_direct, immediate_indirect, coalesce(k.d, 0.0) AS rolled_direct, coalesce(k.i, 0.0) AS rolled_indirect, failing
+  FROM immediates m LEFT JOIN (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3) k USING (req_id, label, dim)),
+totals AS (SELECT *, greatest(immediate_direct, immediate_indirect, rolled_direct, rolled_indirect) AS total FROM measures),
 population AS (SELECT r.* FROM requirements r LEFT JOIN statuses ON lower(status) = status_key WHERE coalesce(expects_implementation, true))
 """
 
@@ -136,17 +156,26 @@ class Estate:
         return out.unionByName(edge(self.table("orders"), "C", F.col("o_custkey"), "O", "o_orderkey"))
 
     @cached_property
-    def implements(self) -> DataFrame:
+    def implements_all(self) -> DataFrame:
+        """Citations as they stand, repeated ones included."""
         lines = self.table("lineitem").where("l_linestatus = 'F'")
-        return lines.select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("req_id"), F.concat(F.lit("P"), F.col("l_partkey")).alias("source_id"), F.when(F.col("l_tax") != 0, line_label()).alias("label")).distinct()
+        return lines.select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("req_id"), F.concat(F.lit("P"), F.col("l_partkey")).alias("source_id"), F.when(F.col("l_tax") != 0, line_label()).alias("label"))
+
+    @cached_property
+    def implements(self) -> DataFrame:
+        return self.implements_all.distinct()
 
     @cached_property
     def tests(self) -> DataFrame:
         return self.table("lineitem").where("l_discount > 0.03D").withColumn("test_id", F.concat(F.lit("T"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
 
+    @cached_property
+    def verifies_all(self) -> DataFrame:
+        return self.tests.select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("req_id"), F.col("test_id").alias("source_id"), F.when(F.col("l_tax") != 0.01, line_label()).alias("label"))
+
     @cached_property
     def verifies(self) -> DataFrame:
-        return self.tests.select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("req_id"), F.col("test_id").alias("source_id"), F.when(F.col("l_tax") != 0.01, line_label()).alias("label")).distinct()
+        return self.verifies_all.distinct()
 
     @cached_property
     def results(self) -> DataFrame:

