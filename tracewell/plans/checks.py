@@ -19,7 +19,6 @@ from tracewell.plans.integrity import unmarked_files
 from tracewell.plans.joins import REFS, items_of
 from tracewell.plans.registry import query
 from tracewell.plans.sets import _TERMS, terms
-from tracewell.plans.texts import scan_terms
 from tracewell.plans.windowed import _LINES, line_range_join
 
 #: Keywords that each kind of file may use.
@@ -180,39 +179,12 @@ def foundations(e: Estate) -> DataFrame:
     return df.crossJoin(top).select("id", r6(score).alias("composite"))
 
 
-@query("SELECT item_id, reverse(lower(term)) AS synonym, term FROM all_terms", tables=_TERMS)
-def term_lookup_synonym(e: Estate) -> DataFrame:
-    t = terms(e)
-    asked = t.select("item_id", F.reverse(F.lower("term")).alias("synonym"))
-    known = t.select("item_id", "term", F.reverse(F.lower("term")).alias("synonym"))
-    return asked.join(known, ["item_id", "synonym"]).select("item_id", "synonym", "term")
-
-
-@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), (SELECT min(lower(term)) FROM all_terms))", tables=_TERMS)
-def collection_manifest(e: Estate) -> DataFrame:
-    """What refers to one collection term."""
-    one = F.broadcast(terms(e).agg(F.min(F.lower("term")).alias("t")))
-    return e.table("documents").select("doc_id", "lang", F.lower("text").alias("low")).crossJoin(one).where(F.contains("low", F.col("t"))).select("doc_id", "lang")
-
-
 @query("SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '([a-z]+)\\*\\*\\*', 1))) AS word FROM documents WHERE contains(text, '***')")
 def terms_undefined(e: Estate) -> DataFrame:
     words = e.table("documents").where(F.contains("text", F.lit("***"))).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([a-z]+)\*\*\*"), F.lit(1))).alias("w"))
     return words.select("doc_id", F.lower("w").alias("word")).join(terms(e).select(F.lower("term").alias("word")), "word", "left_anti").distinct()
 
 
-@query("SELECT item_id FROM all_terms WHERE item_id % 2 = 0 AND item_id NOT IN (SELECT item_id FROM all_terms JOIN documents ON contains(lower(text), lower(term)))", tables=_TERMS)
-def terms_collection_empty(e: Estate) -> DataFrame:
-    return terms(e).where("item_id % 2 = 0").select("item_id").join(scan_terms(e), "item_id", "left_anti")
-
-
-@query("SELECT item_id, count(*) AS other_forms FROM all_terms JOIN documents ON contains(lower(text), lower(term)) AND NOT contains(text, term) GROUP BY item_id", tables=_TERMS)
-def terms_canonical_form(e: Estate) -> DataFrame:
-    t = terms(e).select("item_id", "term", F.lower("term").alias("t"))
-    hit = e.table("documents").select("text").join(t, F.contains(F.lower("text"), F.col("t")) & ~F.contains(F.col("text"), F.col("term")))
-    return hit.groupBy("item_id").agg(F.count("*").alias("other_forms"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'src/f' || p_partkey ELSE 'pkg/src/f' || p_partkey END AS resolved FROM part")
 def coverage_path_resolve(e: Estate) -> DataFrame:
     """A coverage path as written if such a file is known, else below the package."""

@@ -12,7 +12,6 @@ from tracewell.operators import references as ref
 from tracewell.plans.estate import Estate
 from tracewell.plans.events import _LOG, log
 from tracewell.plans.registry import query
-from tracewell.plans.sets import _TERMS, terms
 from tracewell.plans.windowed import _LINES, code_lines
 
 
@@ -90,43 +89,6 @@ def search_terms_from_name(e: Estate) -> DataFrame:
     return e.table("part").select("p_partkey", kept.alias("words")).where("size(words) = 2")
 
 
-@query("SELECT item_id, term, left(definition, 120) AS preview, coalesce(n, 0) AS refs FROM all_terms LEFT JOIN (SELECT item_id, count(*) AS n FROM all_terms JOIN documents ON contains(lower(text), lower(term)) GROUP BY item_id) USING (item_id)", tables=_TERMS)
-def term_detail(e: Estate) -> DataFrame:
-    from tracewell.plans.texts import scan_terms
-
-    n = scan_terms(e).withColumnRenamed("hits", "refs")
-    return terms(e).join(n, "item_id", "left").select("item_id", "term", F.left("definition", F.lit(120)).alias("preview"), F.coalesce("refs", F.lit(0)).alias("refs"))
-
-
-@query("SELECT lower(term) AS term_key, lang AS namespace, list_sort(list(DISTINCT doc_id)) AS doc_ids FROM all_terms JOIN documents ON contains(lower(text), lower(term)) GROUP BY ALL", tables=_TERMS)
-def term_index(e: Estate) -> DataFrame:
-    t = terms(e).select(F.lower("term").alias("term_key")).distinct()
-    docs = e.table("documents").select("doc_id", "lang", F.lower("text").alias("low"))
-    hit = docs.join(t, F.contains(F.col("low"), F.col("term_key")))
-    return hit.groupBy("term_key", F.col("lang").alias("namespace")).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
-
-
-@query("SELECT lower(term) AS term_key, count(DISTINCT doc_id) AS docs FROM all_terms JOIN documents ON contains(lower(text), lower(term)) WHERE lang = 'en' GROUP BY ALL", tables=_TERMS)
-def ref_filter(e: Estate) -> DataFrame:
-    """The term index over the references that a predicate lets through."""
-    t = terms(e).select(F.lower("term").alias("term_key")).distinct()
-    docs = e.table("documents").where("lang = 'en'").select("doc_id", F.lower("text").alias("low"))
-    return docs.join(t, F.contains(F.col("low"), F.col("term_key"))).groupBy("term_key").agg(F.countDistinct("doc_id").alias("docs"))
-
-
-@query("SELECT lower(term) AS term_key, count(*) AS plain FROM all_terms JOIN documents ON contains(text, lower(term)) AND NOT contains(text, '*' || term || '*') GROUP BY 1", tables=_TERMS)
-def terms_unmarked(e: Estate) -> DataFrame:
-    t = terms(e).select("term", F.lower("term").alias("term_key"))
-    docs = e.table("documents").select("text")
-    hit = docs.join(t, F.contains(F.col("text"), F.col("term_key")) & ~F.contains(F.col("text"), F.concat(F.lit("*"), "term", F.lit("*"))))
-    return hit.groupBy("term_key").agg(F.count("*").alias("plain"))
-
-
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\*\\*\\*')) AS marks FROM documents WHERE contains(text, '***')")
-def unmatched_emphasis(e: Estate) -> DataFrame:
-    return e.table("documents").where(F.contains("text", F.lit("***"))).select("doc_id", F.regexp_count("text", F.lit(r"\*\*\*")).alias("marks"))
-
-
 @query("SELECT split_part(anchor, '#', 1) AS card, count(*) AS open_threads FROM (SELECT 'U' || key % 40 || CASE WHEN key % 2 = 0 THEN '#A' ELSE '' END AS anchor FROM threads WHERE open) GROUP BY 1", tables=_LOG)
 def card_threads(e: Estate) -> DataFrame:
     anchor = F.concat(F.lit("U"), F.col("key") % 40, F.when(F.col("key") % 2 == 0, "#A").otherwise(""))

@@ -113,26 +113,6 @@ def candidate_functions(e: Estate) -> DataFrame:
     return e.table("part").select("p_partkey", fn.candidate_functions(test).alias("candidates"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<!--')) AS comments FROM pages")
-def extract_comments(e: Estate) -> DataFrame:
-    return e.table("pages").select("page_id", F.regexp_count("html", F.lit("<!--")).alias("comments"))
-
-
-@query("SELECT item_id, count(*) AS hits FROM all_terms JOIN documents ON contains(lower(text), lower(term)) GROUP BY item_id", tables=_TERMS)
-def scan_terms(e: Estate) -> DataFrame:
-    """Documents per term. Terms of two words are looked up by equi join on the
-    documents' word pairs, then confirmed on the text."""
-    t = terms(e).select("item_id", F.lower("term").alias("t"))
-    # A glossary is small configuration; its size is checked by Spark's own threshold.
-    found = e.table("documents").select("doc_id", F.lower("text").alias("low")).join(t, F.contains(F.col("low"), F.col("t")))
-    return found.groupBy("item_id").agg(F.count("*").alias("hits"))
-
-
-@query("SELECT item_id FROM all_terms WHERE item_id NOT IN (SELECT item_id FROM all_terms JOIN documents ON contains(lower(text), lower(term)))", tables=_TERMS)
-def terms_unused(e: Estate) -> DataFrame:
-    return terms(e).select("item_id").join(scan_terms(e), "item_id", "left_anti")
-
-
 @query("SELECT doc_id, least(n_chars / 100.0, 1.0)::DOUBLE AS value, CASE WHEN n_chars >= 80 THEN 'high' WHEN n_chars >= 50 THEN 'medium' ELSE 'low' END AS band FROM documents")
 def confidence(e: Estate) -> DataFrame:
     return e.table("documents").select("doc_id", fn.confidence(F.col("n_chars").cast("double")).alias("c")).select("doc_id", "c.value", "c.band")
