@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as fn
-from tracewell.operators import changes, closure, conduction, coverage, matching, references, strong, windows
+from tracewell.operators import changes, closure, conduction, coverage, matching, references, strong, suggest, windows
 from tracewell.operators import federation as fed
 from tracewell.sources import results as src
 from tracewell.streaming import logs
@@ -280,3 +280,32 @@ def test_templates_to_review(spark):
     clones = spark.createDataFrame([("c::t", "t", "c"), ("d::t", "t", "d"), ("c::u", "u", "c"), ("c::v", "v", "c")], "id string, template string, declaring string")
     hashes = spark.createDataFrame([("t", "aa", "bb"), ("u", "CC", "cc"), ("v", None, "dd")], "id string, stored string, current string")
     assert sorted(map(tuple, fed.templates_to_review(clones, hashes).collect())) == [("c", "t", "aa"), ("d", "t", "aa")]
+
+
+def test_templates_are_cloned_over_a_chain_of_repositories(spark):
+    reqs = spark.createDataFrame([("a", "A1", True), ("b", "B1", True), ("b", "B2", False), ("c", "C1", True)], "repo string, id string, template boolean")
+    said = spark.createDataFrame([("A1", "A"), ("A1", "B"), ("B1", "A")], "req_id string, label string")
+    links = [("B1", "b", "A1"), ("C1", "c", "b1"), ("C1", "c", "B2"), ("C1", "c", "C1"), ("C1", "c", "A9"), ("C1", "c", "Z1"), ("C1", "c", "Z1")]
+    out = fed.instantiated_across(spark.createDataFrame(links, "declaring string, repo string, target string"), reqs, said, ["A", "B", "C"])
+    got = sorted((r.target, r["class"] or "", r.clone or "", r.label or "", r.template_repo or "") for r in out.collect())
+    assert got == [
+        ("A1", "", "B1::A1", "", "a"),
+        ("A1", "", "B1::A1-A", "A", "a"),
+        ("A1", "", "B1::A1-B", "B", "a"),
+        ("A9", "unknown_requirement", "", "", ""),
+        ("B2", "not_template", "", "", "b"),
+        ("C1", "local", "", "", "c"),
+        ("Z1", "unknown_namespace", "", "", ""),
+        ("b1", "", "C1::B1", "", "b"),
+        ("b1", "", "C1::B1-A", "A", "b"),
+    ]
+
+
+def test_suggestions_rank_hits_of_the_search_that_is_given(spark):
+    words = lambda c: F.split(F.lower(c), " ")
+    said = spark.createDataFrame([("R1", "A", "user logs in", "login flow"), ("R1", "B", "session ends", "login flow"), ("R2", "A", "data is kept", "storage")], "req_id string, label string, text string, title string")
+    asked = spark.createDataFrame([("t1", "login"), ("t1", "user"), ("t1", "logs"), ("t2", "storage"), ("t3", "nothing")], "test_id string, word string")
+    got = {(r.test_id, r.req_id, r.label): (r.confidence, r["rank"], r.reason.split()[0]) for r in suggest.suggested(asked, suggest.by_words(said, words)).collect()}
+    assert got == {("t1", "R1", "A"): (0.75, 1, "direct"), ("t1", "R1", "B"): (0.05, 2, "requirement"), ("t2", "R2", "A"): (0.05, 1, "requirement")}
+    fixed = lambda df: df.select("test_id", F.lit("R").alias("req_id"), F.lit("A").alias("label"), F.when(df.word == "user", 500.0).otherwise(0.0).alias("score"), F.lit(True).alias("direct"))
+    assert [(r.test_id, r.confidence) for r in suggest.suggested(asked, fixed).collect()] == [("t1", 1.0)]

@@ -15,6 +15,32 @@ def instantiated(satisfies: DataFrame, requirements: DataFrame, assertions: Data
     return clones, labels
 
 
+def instantiated_across(links: DataFrame, requirements: DataFrame, assertions: DataFrame, claimed: list[str]) -> DataFrame:
+    """links(declaring, repo, target), requirements(repo, id, template boolean),
+    assertions(req_id, label), first letters that some repository claims -> declaring,
+    repo, target, template, template_repo, class, clone, label.
+
+    A target that another repository owns, as written or in capitals, is cloned into the
+    declaring repository when it is a template: one row for the clone, declaring::template,
+    and one for each of its assertions, declaring::template-label. Others keep one row and
+    a class: local (the own repository's, cloned there), not_template, unknown_requirement
+    (claimed, but no repository has it), unknown_namespace (claimed by none, so presumed
+    foreign). Of several owners the first other repository by name counts."""
+    tries = F.array_distinct(F.array("target", F.upper("target")))
+    wanted = links.select("declaring", "repo", "target").distinct()
+    c = wanted.select("*", F.posexplode(tries).alias("at", "id"))
+    r = requirements.select("id", F.col("repo").alias("template_repo"), "template")
+    found = c.join(r, "id").groupBy("declaring", "repo", "target").agg(F.min(F.struct(F.col("at"), (F.col("template_repo") == F.col("repo")).alias("own"), "template_repo", "id", "template")).alias("f"))
+    met = wanted.join(found, ["declaring", "repo", "target"], "left")
+    missing = F.when(F.left("target", F.lit(1)).isin(*claimed), "unknown_requirement").otherwise("unknown_namespace")
+    fault = F.when(F.col("f").isNull(), missing).when(F.col("f.own"), "local").when(~F.coalesce("f.template", F.lit(False)), "not_template")
+    met = met.select("declaring", "repo", "target", F.col("f.id").alias("template"), "f.template_repo", fault.alias("class"))
+    clone = F.concat_ws("::", "declaring", "template")
+    roots = met.withColumns({"clone": F.when(F.col("class").isNull(), clone), "label": F.lit(None).cast("string")})
+    own = met.where("class is null").join(assertions.select(F.col("req_id").alias("template"), "label"), "template")
+    return roots.unionByName(own.withColumn("clone", F.concat_ws("-", clone, "label")).select(*roots.columns))
+
+
 def integrated(links: DataFrame, requirements: DataFrame, claimed: list[str]) -> DataFrame:
     """links(consumer, repo, target) -> adds bound (the id tried first that exists)
     and class: forbidden within one repo, unknown_requirement in a claimed

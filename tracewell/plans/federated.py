@@ -39,6 +39,32 @@ def instantiate_templates(e: Estate) -> DataFrame:
     return clones.join(labels, "id").select("id", "template", "declaring", "label")
 
 
+_ACROSS = """wants AS (
+  SELECT 'C' || c_custkey AS declaring, r_name AS repo, CASE c_custkey % 5 WHEN 0 THEN 'Z' || c_custkey WHEN 1 THEN 'n' || c_custkey % 25 ELSE 'N' || c_custkey % 28 END AS target FROM placed WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'N' || n_nationkey, r_name, 'R' || (n_regionkey + 1) % 5 FROM nation JOIN region ON n_regionkey = r_regionkey),
+owned AS (SELECT repo, id, id LIKE 'R%' OR substr(id, 2)::BIGINT % 4 <> 0 AS template FROM requirements WHERE id LIKE 'R%' OR id LIKE 'N%'),
+resolved AS (SELECT w.*, coalesce(a.id, b.id) AS template, coalesce(a.repo, b.repo) AS template_repo, coalesce(a.template, b.template) AS is_template FROM wants w LEFT JOIN owned a ON a.id = target LEFT JOIN owned b ON b.id = upper(target)),
+judged AS (SELECT declaring, repo, target, template, template_repo, CASE WHEN template IS NULL THEN CASE WHEN target[1] IN ('R', 'N', 'C', 'O') THEN 'unknown_requirement' ELSE 'unknown_namespace' END WHEN template_repo = repo THEN 'local' WHEN NOT is_template THEN 'not_template' END AS class FROM resolved)"""
+
+
+@query(
+    """SELECT declaring, repo, target, template, template_repo, class, CASE WHEN class IS NULL THEN declaring || '::' || template END AS clone, NULL::VARCHAR AS label FROM judged
+UNION ALL SELECT declaring, repo, target, template, template_repo, class, declaring || '::' || template || '-' || label, label FROM judged JOIN assertions ON req_id = template WHERE class IS NULL""",
+    tables=_ACROSS,
+)
+def instantiate_cross_repo(e: Estate) -> DataFrame:
+    """Customers satisfy nations of other regions, and nations satisfy regions: clones with
+    their assertions, and what isn't cloned with the reason."""
+    k = F.col("c_custkey")
+    target = F.when(k % 5 == 0, F.concat(F.lit("Z"), k)).when(k % 5 == 1, F.concat(F.lit("n"), k % 25)).otherwise(F.concat(F.lit("N"), k % 28))
+    wants = e.placed.where(k % 3 == 0).select(F.concat(F.lit("C"), k).alias("declaring"), F.col("r_name").alias("repo"), target.alias("target"))
+    nations = e.table("nation").join(e.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    wants = wants.unionByName(nations.select(F.concat(F.lit("N"), "n_nationkey").alias("declaring"), F.col("r_name").alias("repo"), F.concat(F.lit("R"), (F.col("n_regionkey") + 1) % 5).alias("target")))
+    upper = e.requirements.where(F.left("id", F.lit(1)).isin("R", "N"))
+    owned = upper.select("repo", "id", (F.col("id").startswith("R") | (F.substring("id", 2, 20).cast("long") % 4 != 0)).alias("template"))
+    return fed.instantiated_across(wants, owned, e.assertions, ["R", "N", "C", "O"])
+
+
 @query("SELECT DISTINCT declaring, template FROM satisfies WHERE template NOT IN (SELECT id FROM requirements)", tables=_SATISFIES)
 def refs_resolve_satisfies(e: Estate) -> DataFrame:
     return satisfies(e).join(e.requirements.select(F.col("id").alias("template")), "template", "left_anti").select("declaring", "template").distinct()
@@ -169,16 +195,6 @@ def scoped_search(e: Estate) -> DataFrame:
     return hits.groupBy(F.when(F.contains("title", F.lit("1")), "hit").otherwise("miss").alias("found")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT v.source_id AS test_id, a.req_id, a.label, (0.5 + 0.1 * hash_len)::DOUBLE AS confidence FROM (SELECT source_id, req_id, length(source_id) % 4 AS hash_len FROM verifies WHERE label IS NULL) v JOIN assertions a USING (req_id) QUALIFY row_number() OVER (PARTITION BY v.source_id ORDER BY a.label) <= 3")
-def suggest_links(e: Estate) -> DataFrame:
-    """Up to three assertions for tests that name a requirement only."""
-    from pyspark.sql.window import Window
-
-    loose = e.verifies.where("label is null").select("req_id", F.col("source_id").alias("test_id"))
-    both = loose.join(e.assertions, "req_id").withColumn("rn", F.row_number().over(Window.partitionBy("test_id").orderBy("label"))).where("rn <= 3")
-    return both.select("test_id", "req_id", "label", (0.5 + 0.1 * (F.length("test_id") % 4)).alias("confidence"))
-
-
 @query("SELECT req_id, source_id AS test_id, max(conf) AS confidence, list_sort(list(DISTINCT source_type)) AS reasons FROM (SELECT *, CASE source_type WHEN 'test_direct' THEN 0.9 ELSE 0.6 END::DOUBLE AS conf FROM contributions WHERE source_type LIKE 'test%') GROUP BY ALL")
 def dedupe_suggestions(e: Estate) -> DataFrame:
     found = contributions_of(e).where(F.col("source_type").startswith("test"))
