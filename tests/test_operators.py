@@ -309,3 +309,25 @@ def test_suggestions_rank_hits_of_the_search_that_is_given(spark):
     assert got == {("t1", "R1", "A"): (0.75, 1, "direct"), ("t1", "R1", "B"): (0.05, 2, "requirement"), ("t2", "R2", "A"): (0.05, 1, "requirement")}
     fixed = lambda df: df.select("test_id", F.lit("R").alias("req_id"), F.lit("A").alias("label"), F.when(df.word == "user", 500.0).otherwise(0.0).alias("score"), F.lit(True).alias("direct"))
     assert [(r.test_id, r.confidence) for r in suggest.suggested(asked, fixed).collect()] == [("t1", 1.0)]
+
+
+def test_snapshots_are_matched_by_id_then_by_content(spark):
+    old = [("a", "f1", "1"), ("b", "f1", "2"), ("c", "f1", "3"), ("d", "f1", "4"), ("e", "f1", "5"), ("f", "f1", None), ("g", "f1", "9"), ("h", "f1", "9")]
+    new = [("a", "f1", "1"), ("b", "f2", "2"), ("c", "f1", "0"), ("d", "f2", "0"), ("x", "f2", "5"), ("y", "f1", None), ("z", "f1", "9")]
+    schema = "id string, path string, hash string"
+    got = {(r.id, r.new_id): r.change for r in changes.between(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()}
+    assert got == {("b", "b"): "moved", ("c", "c"): "edited", ("d", "d"): "moved and edited", ("e", "x"): "renamed and moved", ("f", None): "removed", (None, "y"): "added", ("g", "z"): "renamed", ("h", None): "removed"}
+
+
+def test_the_nearest_wanted_ancestor(spark):
+    e = edges(spark, ("F", "r"), ("r", "a"), ("G", "m"), ("m", "a2"), ("r", "a2"), ("x", "y"), ("y", "x"), ("y", "z"), ("B", "F"))
+    got = {tuple(r) for r in closure.nearest(e, nodes(spark, "r", "a", "a2", "z", "F"), nodes(spark, "F", "G", "B")).collect()}
+    assert got == {("r", "F", 1), ("a", "F", 2), ("a2", "F", 2), ("F", "B", 1)}
+    assert closure.nearest(e, nodes(spark, "z"), nodes(spark, "F")).count() == 0
+
+
+def test_tables_of_other_columns_are_united_with_owners(spark):
+    a = spark.createDataFrame([("one", "X", "t"), ("one", "Y", "t")], "repo string, id string, title string")
+    b = spark.createDataFrame([("two", "X", 1.0)], "repo string, id string, size double")
+    got = {(r.repo, r.id): (r.title, r.size, r.owner, r.contested) for r in fed.united([a, b]).collect()}
+    assert got == {("one", "X"): ("t", None, "one", True), ("one", "Y"): ("t", None, "one", False), ("two", "X"): (None, 1.0, "one", True)}

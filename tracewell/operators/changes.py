@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def threads(events: DataFrame) -> DataFrame:
@@ -40,3 +41,21 @@ def conflicts(writes: DataFrame, current: DataFrame) -> DataFrame:
     both = writes.join(current, "id", "left")
     state = F.when(F.col("version").isNull(), "node_not_found").when(F.col("token") != F.col("version"), "conflict")
     return both.withColumn("state", state).where("state is not null").select("id", "token", "state")
+
+
+def between(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old and new(id, path, hash) of two snapshots -> id, new_id, old_path, new_path,
+    change. Rows of one id are compared first: moved, edited, or both. What is left is
+    matched by equal content, ties in order of id: renamed, or renamed and moved. The rest
+    was added or removed. Rows that stay as they are aren't listed; null hashes equal no
+    other. Ids are taken to be unique in a snapshot."""
+    a = old.select("id", F.col("path").alias("old_path"), F.col("hash").alias("old_hash"))
+    b = new.select("id", F.col("path").alias("new_path"), F.col("hash").alias("new_hash"))
+    moved, edited = ~F.col("old_path").eqNullSafe(F.col("new_path")), ~F.col("old_hash").eqNullSafe(F.col("new_hash"))
+    same = a.join(b, "id").select("id", F.col("id").alias("new_id"), "old_path", "new_path", F.when(moved & edited, "moved and edited").when(moved, "moved").when(edited, "edited").alias("change")).where("change is not null")
+    order = lambda h: F.row_number().over(Window.partitionBy(h).orderBy("id"))
+    gone = a.join(b.select("id"), "id", "left_anti").withColumnRenamed("old_hash", "hash").withColumn("nth", order("hash"))
+    come = b.join(a.select("id"), "id", "left_anti").withColumnRenamed("new_hash", "hash").withColumn("nth", order("hash")).withColumnRenamed("id", "new_id")
+    rest = gone.join(come, ["hash", "nth"], "full")
+    kind = F.when(F.col("new_id").isNull(), "removed").when(F.col("id").isNull(), "added").when(moved, "renamed and moved").otherwise("renamed")
+    return same.unionByName(rest.select("id", "new_id", "old_path", "new_path", kind.alias("change")))

@@ -32,6 +32,28 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     return reduce(DataFrame.unionByName, seen)
 
 
+def nearest(edges: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """edges(src parent, dst child), nodes(node), wanted(node) -> node, found, depth: the
+    nearest ancestor that is wanted, the least of equally near ones; nodes without one are
+    left out. A walk stops where it finds one and never enters a node twice."""
+    up = staged(edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).where("at is not null and next is not null").distinct(), "up")
+    goal = wanted.select(F.col("node").alias("next"), F.lit(True).alias("hit")).distinct()
+    front = staged(nodes.select("node", F.col("node").alias("at")).where("node is not null").distinct(), "front")
+    seen, found = [front], []
+    for depth in range(1, MAX_ROUNDS + 1):
+        step = staged(front.join(up, "at").join(goal, "next", "left").select("node", F.col("next").alias("at"), F.coalesce("hit", F.lit(False)).alias("hit")).distinct(), "step")
+        if step.isEmpty():
+            break
+        hits = staged(step.where("hit").groupBy("node").agg(F.min("at").alias("found")).withColumn("depth", F.lit(depth)), "found")
+        found.append(hits)
+        visited = reduce(DataFrame.unionByName, seen)
+        front = staged(step.where("not hit").select("node", "at").join(hits.select("node"), "node", "left_anti").join(visited, ["node", "at"], "left_anti"), "front")
+        seen.append(front)
+    else:
+        raise RuntimeError(f"walks did not end in {MAX_ROUNDS} steps")
+    return reduce(DataFrame.unionByName, found) if found else nodes.select("node", F.col("node").alias("found"), F.lit(0).alias("depth")).limit(0)
+
+
 def paths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Traversal that yields a node once per path: node, depth, path (node ids from
     the root). Only back edges are cut. Without a max_depth, paths of more than

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +92,13 @@ def templates_to_review(clones: DataFrame, hashes: DataFrame) -> DataFrame:
     compared without case; a template without a stored hash isn't stale."""
     stale = hashes.where(F.lower("stored") != F.lower("current")).select(F.col("id").alias("template"), "stored")
     return clones.select("template", "declaring").distinct().join(stale, "template").select("declaring", "template", "stored")
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """Node tables of federated repositories, each with repo, id and columns of its own ->
+    one table of all columns, null where a table lacks one, with owner (the first
+    repository by name that has the id; that of a null repo comes last) and contested (other
+    repositories have it too). Columns of one name must be of one type."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    own = every.groupBy("id").agg(F.min("repo").alias("owner"), (F.count_distinct("repo") > 1).alias("contested"))
+    return every.join(own, "id")

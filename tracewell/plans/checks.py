@@ -94,11 +94,6 @@ def unlinked_nodes(e: Estate) -> DataFrame:
     return code.join(known, "file", "left_semi").join(linked, "id", "left_anti").select("id")
 
 
-@query("SELECT 'P' || p_partkey AS id, p_brand AS file FROM part")
-def file_of_node(e: Estate) -> DataFrame:
-    return e.table("part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_brand").alias("file"))
-
-
 @query("SELECT sum(lines)::BIGINT AS lines, sum(covered)::BIGINT AS covered, count(*) AS nodes FROM (SELECT p_partkey, count(*) AS lines, count(*) FILTER (WHERE hits > 0) AS covered FROM part JOIN code_lines ON file = p_brand AND line BETWEEN p_partkey AND p_partkey + p_size GROUP BY p_partkey)", tables=_LINES)
 def aggregate_line_coverage(e: Estate) -> DataFrame:
     return line_range_join(e).agg(F.sum("lines").alias("lines"), F.sum("covered").alias("covered"), F.count("*").alias("nodes"))

@@ -154,11 +154,3 @@ def analysis_population(e: Estate) -> DataFrame:
 def line_context_join(e: Estate) -> DataFrame:
     ranges = e.table("part").select("p_partkey", F.col("p_brand").alias("file"), F.explode(F.sequence(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size"))).alias("line"))
     return ranges.join(code_lines(e).where("hits > 40"), ["file", "line"], "left_semi").groupBy("p_partkey").agg(F.count("*").alias("run_lines"))
-
-
-@query("SELECT c.id, o.id AS ordered FROM requirements c JOIN requirements o ON c.title = o.title AND c.id < o.id WHERE c.level = 'OPS'")
-def detect_moved(e: Estate) -> DataFrame:
-    """Same key, other place: here titles that two nodes of a level share."""
-    a = e.requirements.where("level = 'OPS'").select("title", "id")
-    b = e.requirements.select("title", F.col("id").alias("ordered"))
-    return a.join(b, "title").where("id < ordered").select("id", "ordered")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.plans.estate import ESTATE_SQL, Estate
 
-MODULES = ("coverage", "worklists", "joins", "integrity", "graphs", "texts", "windowed", "sets", "events", "readers", "federated", "scalars", "checks", "matching", "glossary", "loads", "suggestions")
+MODULES = ("coverage", "worklists", "joins", "integrity", "graphs", "texts", "windowed", "sets", "events", "readers", "federated", "scalars", "checks", "matching", "glossary", "loads", "suggestions", "snapshots")
 _QUERIES: dict[str, Callable[[Estate], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

@@ -60,11 +60,6 @@ def term_list(e: Estate) -> DataFrame:
     return terms(e).select("item_id", "term", F.left("definition", F.lit(120)).alias("preview"))
 
 
-@query("SELECT repo, count(*) AS nodes FROM requirements GROUP BY repo")
-def federated_union(e: Estate) -> DataFrame:
-    return e.requirements.groupBy("repo").agg(F.count("*").alias("nodes"))
-
-
 @query("SELECT kind, count(*) AS nodes FROM (SELECT 'requirement' AS kind, id FROM requirements UNION ALL SELECT 'assertion', req_id || '-' || label FROM assertions UNION ALL SELECT 'test', test_id FROM (SELECT DISTINCT test_id FROM tests) UNION ALL SELECT 'code', 'P' || p_partkey FROM part UNION ALL SELECT 'journey', 'J' || conv_id FROM (SELECT DISTINCT conv_id FROM conversations)) GROUP BY kind")
 def nodes_by_kind(e: Estate) -> DataFrame:
     of = lambda kind, df: df.agg(F.count("*").alias("nodes")).select(F.lit(kind).alias("kind"), "nodes")
