@@ -59,8 +59,8 @@ def hashed(text: str | None) -> np.ndarray:
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
-    for i in range(b.num_rows):
-        yield b.column("doc_id")[i].as_py(), hashed(b.column("text")[i].as_py())
+    for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        yield doc_id, hashed(text)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -156,23 +156,29 @@ def _hot_pairs(sent):
         model: Model = sent.value
 
         def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
-            return pa.RecordBatch.from_pydict({"v": model.hot[keys[:, 0]].view(np.int64), "side": keys[:, 1].astype(np.int32), "other": keys[:, 2].astype(np.int64), "n": n})
+            t = np.concatenate(held)
+            at = model.hot_at(t)
+            # Pads at either end of a document have no pair there.
+            v = np.flatnonzero((at >= 0) & (t != END))
+            v = v[(v > 0) & (v < len(t) - 1)]
+            v = v[~((t[v] == START) & (t[v - 1] != START))]
+            kind = np.concatenate((at[v] * 2, at[v] * 2 + 1)).astype(np.int64)
+            other = np.concatenate((t[v + 1], t[v - 1])) & SHORT
+            order = np.lexsort((other, kind))
+            kind, other = kind[order], other[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(kind)), dtype=bool), (kind[1:] != kind[:-1]) | (other[1:] != other[:-1]))))
+            n = np.diff(np.append(new, len(kind)))
+            return pa.RecordBatch.from_pydict({"v": model.hot[kind[new] >> 1].view(np.int64), "side": (kind[new] & 1).astype(np.int32), "other": other[new].astype(np.int64), "n": n})
 
         held, size = [], 0
         for b in batches:
             for doc_id, h in _rows(b):
-                if held_out(doc_id):
-                    continue
-                t = _trigrams(h)
-                at = model.hot_at(t[1:-1])
-                on = np.flatnonzero(at >= 0)
-                for side, other in ((0, t[2:]), (1, t[:-2])):
-                    held.append(np.stack((at[on].astype(np.uint64), np.full(len(on), side, np.uint64), other[on] & SHORT), axis=1))
-                size += 2 * len(on)
-                if size >= CHUNK:
-                    yield counted()
-                    held, size = [], 0
+                if not held_out(doc_id):
+                    held.append(_trigrams(h))
+                    size += len(h) + 3
+                    if size >= CHUNK:
+                        yield counted()
+                        held, size = [], 0
         if size:
             yield counted()
 
@@ -243,24 +249,38 @@ def _dealt(sent):
 
         def made(held: list) -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(t) - 2 for _, t in held])
-            every = np.concatenate([t for _, t in held])
+            # The chunk's words once: what follows works on their numbers.
+            words, number_of = np.unique(np.concatenate([t for _, t in held]), return_inverse=True)
+            shorts, short_of = np.unique(words & SHORT, return_inverse=True)
             first = np.cumsum(lengths + 2) - lengths - 2
-            doc = np.repeat(np.arange(len(held)), lengths)
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
             at = np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
-            cell = model.dealt(every[at], every[at + 1], every[at + 2])
+            v, u, w = number_of[at + 1], short_of[number_of[at]], short_of[number_of[at + 2]]
+            cell = model.cell_of(words, 0, 0)[v]
+            hot = np.flatnonzero((model.hot_at(words) >= 0)[v])
+            cell[hot] = model.dealt(shorts[u[hot]], words[v[hot]], shorts[w[hot]])
             order = np.argsort(cell, kind="stable")
             cells, starts = np.unique(cell[order], return_index=True)
             ids = np.array([i or 0 for i, _ in held], dtype=np.int64)
             flags = np.array([(i is not None) | held_out(i) << 1 for i, _ in held], dtype=np.uint8)
             docs = pa.compress(np.array([len(held)], dtype=np.int64).tobytes() + ids.tobytes() + flags.tobytes(), codec="zstd", asbytes=True)
             head = np.array([8 + 9 * len(held)], dtype=np.int64).tobytes() + docs
+            place = np.zeros(len(words), dtype=np.int32)
+
+            def renumbered(*parts: np.ndarray) -> tuple[np.ndarray, ...]:
+                """The numbers that occur, sorted, and each part by their places."""
+                mark = np.zeros(len(words), dtype=bool)
+                for p in parts:
+                    mark[p] = True
+                used = np.flatnonzero(mark)
+                place[used] = np.arange(len(used), dtype=np.int32)
+                return used, *(place[p] for p in parts)
+
             for c, own in zip(cells.tolist(), np.split(order, starts[1:])):
-                u, v, w = every[at[own]] & SHORT, every[at[own] + 1], every[at[own] + 2] & SHORT
-                vs, vi = np.unique(v, return_inverse=True)
-                near, ni = np.unique(np.concatenate((u, w)), return_inverse=True)
-                ui, wi = ni[: len(u)], ni[len(u) :]
-                by = np.argsort((vi * len(near) + ui) * np.int64(1) if len(vs) * len(near) < 2**62 else vi, kind="stable")
-                tokens = _packed(vs.tobytes(), _sorted_unique(near), np.bincount(vi, minlength=len(vs)), ui[by], wi[by], doc[own][by])
+                vs, vi = renumbered(v[own])
+                near, ui, wi = renumbered(u[own], w[own])
+                by = np.argsort(vi.astype(np.int64) * len(near) + ui, kind="stable")
+                tokens = _packed(words[vs].tobytes(), _sorted_unique(shorts[near]), np.bincount(vi, minlength=len(vs)), ui[by], wi[by], doc[own][by])
                 yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "chunk": [(part << 32) + number], "docs": [head], "tokens": [tokens]})
 
         held, size = [], 0
