@@ -94,6 +94,13 @@ def test_mixing_keeps_columns_of_any_name(spark):
     assert mixing.mixed(docs).count() == 50
 
 
+def test_mixing_keeps_columns_of_any_type(spark):
+    rows = [(1, "a", {"k": 1}, bytearray(b"x")), (None, "a", {"k": 2}, None), (None, "b", None, bytearray(b"y"))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, tags map<string, int>, raw binary")
+    got = mixing.in_mixed_order(docs).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows)) and mixing.mixed(docs).count() == 3
+
+
 def base(text):
     w = WORD.findall(text or "")
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))

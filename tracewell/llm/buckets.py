@@ -15,8 +15,10 @@ that join. So every close pair of a bucket is confirmed, refused, or inside one
 component, while no group's pairs are ever written out.
 
 A bucket or family of more than PART rows is cut into parts that are compared two
-by two in tasks of their own, so no task holds more than two parts. Heavy buckets
-are found by counting hashed cells first, of which there are always CELLS."""
+by two in tasks of their own. Heavy buckets are found by counting hashed cells, of which
+there are always CELLS: a bucket counts as heavy from PART rows and four times the mean
+cell on, so that a task may hold a bucket of that size whole, which grows with the
+table."""
 
 from __future__ import annotations
 

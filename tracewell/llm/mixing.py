@@ -36,8 +36,8 @@ def _source(docs: DataFrame) -> Column:
 
 
 def _order(docs: DataFrame) -> Column:
-    """Hash that orders a source; rows without an id are spread by their columns."""
-    return F.md5(F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("none "), F.xxhash64(docs["row"]))))
+    """Hash that orders a source; rows without an id are spread by their columns, of any type."""
+    return F.md5(F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("none "), F.to_json(docs["row"]))))
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None) -> DataFrame:

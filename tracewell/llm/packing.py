@@ -7,8 +7,8 @@ level. Each task packs its own scan partition as it reads it, so nothing is
 shuffled; at its end the windows still open are cut and joined, and the last is
 laid out in power-of-two sequences, which need no padding.
 
-Memory of a task: the open windows, at most one of each level in play, and the
-word memo. Sequence ids are made of the partition and a running number; the
+Memory of a task: the open windows and the word memo. Several windows may stand open at
+one level; the rule keeps their squared counts low, but sets no bound of one. Sequence ids are made of the partition and a running number; the
 same input split gives the same rows when a task is run again."""
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ before the payload (WARC header and HTTP header) and the payload's address.
 Records are rebuilt by joining the two; every payload's digests are checked
 against its address and the record's own header when it is read.
 
-Only the rows that stand for a payload carry bytes through a shuffle, dealt out
-by their own ids, so a payload that a third of all pages share moves once."""
+The rows that stand for a payload are found by a join of digests with the pages, in
+which Spark may send every page's bytes through a shuffle, dealt out by digest and id, so
+that a payload that a third of all pages share is no hot key. Rebuilding moves the stored
+bytes once more; a query that reads no record or payload is spared that."""
 
 from __future__ import annotations
 
