@@ -231,7 +231,7 @@ def _unpacked(data: bytes) -> list:
     while at < len(raw):
         width, size = np.frombuffer(raw, "<i8", 2, at).tolist()
         at += 16
-        out.append(raw[at : at + size] if width == 0 else np.frombuffer(raw, f"<u{width}", size // width, at).astype(np.int64))
+        out.append(raw[at : at + size] if width == 0 else np.frombuffer(raw, f"<u{width}", size // width, at))
         at += size
     return out
 
@@ -252,10 +252,14 @@ def _dealt(sent):
             # The chunk's words once: what follows works on their numbers.
             words, number_of = np.unique(np.concatenate([t for _, t in held]), return_inverse=True)
             shorts, short_of = np.unique(words & SHORT, return_inverse=True)
-            first = np.cumsum(lengths + 2) - lengths - 2
+            number_of, short_of = number_of.astype(np.int32), short_of.astype(np.int32)
             doc = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
-            at = np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
+            # Two places at the end of each document begin no token.
+            begins = np.ones(len(number_of), dtype=bool)
+            begins[np.cumsum(lengths + 2) - 1] = begins[np.cumsum(lengths + 2) - 2] = False
+            at = np.flatnonzero(begins).astype(np.int32)
             v, u, w = number_of[at + 1], short_of[number_of[at]], short_of[number_of[at + 2]]
+            del begins, at, number_of
             cell = model.cell_of(words, 0, 0)[v]
             hot = np.flatnonzero((model.hot_at(words) >= 0)[v])
             cell[hot] = model.dealt(shorts[u[hot]], words[v[hot]], shorts[w[hot]])
