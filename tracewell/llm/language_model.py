@@ -41,7 +41,7 @@ from tracewell.llm.eliasfano import EliasFano
 
 MU2, MU3 = 50.0, 5.0
 FREQUENT, BUCKETS = 1 << 16, 1 << 18
-CELL = CHUNK = 1 << 21
+CELL, CHUNK = 1 << 21, 1 << 20
 STEPS = 2048
 #: No word holds a space, so these are no word's hashes.
 START, END = (xxhash.xxh64_intdigest(b) for b in (b" start", b" end"))
@@ -84,7 +84,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not held_out(doc_id):
                 held += [h, np.array([END], dtype=np.uint64)]
                 size += len(h) + 1
-                if size >= 2 * CHUNK:
+                if size >= 4 * CHUNK:
                     yield counted()
                     held, size = [], 0
     if held:
@@ -401,17 +401,22 @@ class Cell:
         self.sizes = [len(x) for x in doc]
         self.v, self.u, self.w, self.doc, self.learnt = (np.concatenate(x) for x in (v, u, w, doc, learnt))
         del parts, v, u, w, doc, learnt
-        lv, lu, lw = (x[self.learnt].astype(np.int64) for x in (self.v, self.u, self.w))
+        # One array of 64 bits at a time, besides those that sorting takes.
+        lv, lu, lw = (x[self.learnt] for x in (self.v, self.u, self.w))
+        key = lambda a, b: a.astype(np.int64) * nw + b
         # A spread word's pairs are counted over its whole grid, those of others here.
         spread = model.hot_at(self.vs)
         here = spread[lv] < 0
         hot_at = np.searchsorted(self.vs, hot_v) * nw + np.searchsorted(self.near, hot_other)
-        self.pairs, self.pair_n = self._counted((lv * nw + lw)[here], hot_at[hot_side == 0], hot_n[hot_side == 0])
-        self.contexts, self.context_n = self._counted((lv * nw + lu)[here], hot_at[hot_side == 1], hot_n[hot_side == 1])
+        self.pairs, self.pair_n = self._counted(key(lv[here], lw[here]), hot_at[hot_side == 0], hot_n[hot_side == 0])
+        self.contexts, self.context_n = self._counted(key(lv[here], lu[here]), hot_at[hot_side == 1], hot_n[hot_side == 1])
         self.v_count = np.bincount(lv, minlength=len(self.vs))
         self.v_count[spread >= 0] = model.hot_n[spread[spread >= 0]] if len(model.hot) else 0
-        own = np.searchsorted(self.contexts, lv * nw + lu) * nw + lw
-        self.trigrams, self.place, self.trigram_n = np.unique(own, return_inverse=True, return_counts=True)
+        context = np.searchsorted(self.contexts, key(lv, lu)).astype(np.int32)
+        del lv, lu, here
+        self.trigrams, place, self.trigram_n = np.unique(key(context, lw), return_inverse=True, return_counts=True)
+        self.place = place.astype(np.int32)
+        del context, lw, place
         self.p1 = model.p1(self.near.astype(np.uint64))
 
     @staticmethod
