@@ -267,6 +267,18 @@ def test_searches_as_users_write_them():
     t = fn.Terms.of('A OR b c -d "E f" OR g AND h')
     assert (t.groups, t.excluded, t.phrases) == ([["a", "b"], ["c"], ["g"], ["h"]], ["d"], ["e f"])
     assert fn.Terms.of("OR a").groups == [["a"]] and not fn.Terms.of("  ").groups
+    t = fn.Terms.of('(a OR b (c -x "y")) d) OR e =F OR g ( ) (h "open end')
+    assert (t.groups, t.excluded, t.phrases) == ([["a", "b", "c"], ["d", "e"], ["=f", "g"], ["h"]], [], [])
+    assert fn.Terms.of('"open end').phrases == ["open end"]
+
+
+def test_searches_score_fields_and_keywords(spark):
+    row = spark.createDataFrame([("R1", "Login page", "A body text", ["Auth", None, "login flow"])], "id string, title string, body string, words array<string>")
+
+    def score(raw):
+        return row.select(fn.Terms.of(raw).score(F.col("id"), F.col("title"), F.col("body"), F.col("words")).alias("s")).first().s
+
+    assert [score(x) for x in ("r1", "login", "=auth", "aut", "=aut", "text", "(nope OR text) auth", "text -auth", '"auth login"', "text nope", "", "-nope")] == [100, 50, 40, 25, 0, 10, 35, 0, 1, 0, 0, 0]
 
 
 def test_expanded_names_what_an_owner_lacks(spark):
@@ -331,3 +343,32 @@ def test_tables_of_other_columns_are_united_with_owners(spark):
     b = spark.createDataFrame([("two", "X", 1.0)], "repo string, id string, size double")
     got = {(r.repo, r.id): (r.title, r.size, r.owner, r.contested) for r in fed.united([a, b]).collect()}
     assert got == {("one", "X"): ("t", None, "one", True), ("one", "Y"): ("t", None, "one", False), ("two", "X"): (None, 1.0, "one", True)}
+
+
+def test_long_sequences_are_scanned_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(windows, "SPAN", 7)
+    rng = random.Random(5)
+    rows = [("big", n, rng.choice([None, None, None, n])) for n in sorted(rng.sample(range(300), 120))] + [("one", 5, None), ("two", 900, 1)]
+    df = spark.createDataFrame(rows, "file string, line long, v long")
+    order = [F.col("line")]
+    df = windows.known(df, ["file"], "line", order, F.col("v"), "held")
+    df = windows.known(df, ["file"], "line", order, F.col("v"), "ahead", own=False, ahead=True)
+    df = windows.summed(df, ["file"], "line", order, F.lit(2), "total")
+    got = {(r.file, r.line): (r.held, r.ahead, r.total) for r in df.collect()}
+    for file in ("big", "one", "two"):
+        own = [(n, v) for f, n, v in rows if f == file]
+        for i, (n, _) in enumerate(own):
+            held = [v for _, v in own[: i + 1] if v is not None]
+            ahead = [v for _, v in own[i + 1 :] if v is not None]
+            assert got[file, n] == (held[-1] if held else None, ahead[0] if ahead else None, 2 * (i + 1))
+    markers = [n for n in range(300) if rng.random() < 0.2]
+    lines = [n for n in range(300) if rng.random() < 0.3]
+    frames = [spark.createDataFrame([("f", n) for n in x], "file string, line long") for x in (markers, lines)]
+    got = {r.line: r.block for r in windows.block_owner(*frames, ["file"], "line").collect()}
+    block, prior, want = 0, 0, {}
+    for n, m in sorted([(n, 0) for n in markers] + [(n, 1) for n in lines]):
+        block += m == 0 and prior == 0
+        prior = 1 if m == 0 else 0
+        if m:
+            want[n] = block
+    assert got == want

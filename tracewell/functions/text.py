@@ -61,8 +61,9 @@ def confidence(score: Column) -> Column:
 
 
 class Terms:
-    """A search: every group of alternatives must hit, no excluded term may, and
-    every phrase must occur. Built on the driver, compiled to one Column."""
+    """A search: every group of alternatives must hit, no excluded term may, and every
+    phrase must occur. A term that begins with = fits keywords as a whole only. Built on
+    the driver, compiled to one Column."""
 
     def __init__(self, groups: list[list[str]], excluded: list[str] = (), phrases: list[str] = ()):
         self.groups = [[t.lower() for t in g] for g in groups]
@@ -71,39 +72,60 @@ class Terms:
     @classmethod
     def of(cls, raw: str) -> Terms:
         """Terms of a search as users write it: words must all hit, `a OR b` is one group,
-        `-a` excludes, `"a b"` is a phrase; OR joins single words only. Blank searches have no groups."""
-        groups, excluded, phrases, either, after_word = [], [], [], False, False
-        for phrase, word in re.findall(r'"([^"]+)"|([^\s"]+)', raw):
-            if phrase:
-                phrases.append(phrase)
-            elif word == "OR":
-                either, after_word = after_word, False
+        `-a` excludes, `=a` is a whole keyword, `"a b"` is a phrase (to the end of the search
+        where no mark closes it), and all words inside brackets, nested ones included, are
+        one group; what is excluded or quoted there is dropped. A blank search has no groups."""
+        groups, excluded, phrases = [], [], []
+        either, after_word, depth, inside = False, False, 0, []
+        for phrase, bracket, word in re.findall(r'"([^"]*)(?:"|$)|([()])|([^\s()"]+)', raw):
+            if bracket == "(":
+                depth += 1
+            elif bracket == ")" and not depth:
+                continue
+            elif bracket == ")":
+                depth -= 1
+            elif depth and word not in ("", "OR", "AND") and not (word.startswith("-") and len(word) > 1):
+                inside.append(word)
+            if depth:
                 continue
+            if bracket:
+                groups += [inside] if inside else []
+                inside, either, after_word = [], False, False
+            elif word == "OR":
+                either = after_word
+            elif phrase or word in ("", "AND"):
+                phrases += [phrase] if phrase else []
+                either, after_word = False, False
             elif word.startswith("-") and len(word) > 1:
                 excluded.append(word[1:])
-            elif word != "AND":
+            else:
                 groups[-1].append(word) if either else groups.append([word])
-            either, after_word = False, not phrase and not word.startswith("-")
-        return cls(groups, excluded, phrases)
+                either, after_word = False, True
+        return cls([*groups, inside] if inside else groups, excluded, phrases)
 
     def score(self, node_id: Column, title: Column, body: Column, words: Column) -> Column:
-        """id 100, title 50, keyword 40 (part of one 25), body 10: the most per
-        alternative and per group, summed over groups."""
-        lower = [F.lower(c) for c in (node_id, title, body)]
+        """id 100, title 50, whole keyword asked for by = 40, part of a keyword 25, body 10:
+        the most per alternative and per group, summed over groups. Null fields hold nothing."""
+        lower = [F.coalesce(F.lower(c), F.lit("")) for c in (node_id, title, body)]
+        keywords = F.transform(F.array_compact(words), F.lower)
 
-        def one(term: str) -> Column:
-            t = F.lit(term)
-            keyword = F.when(F.array_contains(words, term), 40).when(F.exists(words, lambda w: F.contains(w, t)), 25).otherwise(0)
-            return F.greatest(F.when(F.contains(lower[0], t), 100).otherwise(0), F.when(F.contains(lower[1], t), 50).otherwise(0), keyword, F.when(F.contains(lower[2], t), 10).otherwise(0))
+        def split(term: str) -> tuple[str, bool]:
+            return (term[1:], True) if term.startswith("=") and len(term) > 1 else (term, False)
+
+        def keyword(term: str) -> Column:
+            text, whole = split(term)
+            return F.exists(keywords, lambda w: w == text if whole else F.contains(w, F.lit(text)))
 
-        def anywhere(term: str) -> Column:
-            return reduce(lambda a, b: a | b, [F.contains(c, F.lit(term)) for c in lower])
+        def one(term: str) -> Column:
+            t = F.lit(split(term)[0])
+            parts = [F.when(F.contains(c, t), n).otherwise(0) for c, n in zip(lower, (100, 50, 10))]
+            return F.greatest(*parts, F.when(keyword(term), 40 if split(term)[1] else 25).otherwise(0))
 
         best = [reduce(F.greatest, [one(t) for t in g]) if len(g) > 1 else one(g[0]) for g in self.groups]
-        total = reduce(lambda a, b: a + b, best) if best else F.lit(1)
+        total = reduce(lambda a, b: a + b, best) if best else F.lit(1 if self.phrases else 0)
         fits = reduce(lambda a, b: a & b, [b > 0 for b in best], F.lit(True))
         for p in self.phrases:
-            fits &= anywhere(p)
+            fits &= reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for c in (*lower, F.array_join(keywords, " "))])
         for t in self.excluded:
-            fits &= ~anywhere(t)
+            fits &= ~reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for c in lower], keyword(t))
         return F.when(fits, total).otherwise(0)

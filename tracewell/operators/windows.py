@@ -31,13 +31,52 @@ def first_gap(df: DataFrame, key: str, label: str) -> DataFrame:
     return bad.groupBy(key).agg(F.min(F.struct("rn", F.char(F.col("rn") + 64).alias("expected"), F.col(label).alias("found"))).alias("x")).select(key, "x.expected", "x.found")
 
 
+#: Lines of one range of a long sequence; a range is one window partition.
+SPAN = 10_000
+
+
+def _ranged(df: DataFrame, line: str) -> DataFrame:
+    return df.withColumn("__range", F.floor(F.col(line) / SPAN))
+
+
+def known(df: DataFrame, keys: list[str], line: str, order: list[Column], value: Column, name: str, *, own: bool = True, ahead: bool = False) -> DataFrame:
+    """df with `name`: the last value that isn't null up to each row (own: the row itself
+    included), or with `ahead` the first from there on, within keys.
+
+    In two levels, so that one long sequence is no task of its own: windows over ranges of
+    SPAN lines, then one row per range, whose values are carried over the ranges. order
+    begins with the line and tells rows apart."""
+    turned = [F.desc(c) if ahead else F.asc(c) for c in order]
+    df = _ranged(df, line).withColumn("__value", value)
+    inside = Window.partitionBy(*keys, "__range").orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    where = F.when(F.col("__value").isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    ends = df.groupBy(*keys, "__range").agg((F.min_by if ahead else F.max_by)("__value", where).alias("__end"))
+    over = Window.partitionBy(*keys).orderBy(F.desc("__range") if ahead else F.asc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "__range", F.last("__end", ignorenulls=True).over(over).alias("__carried"))
+    out = df.withColumn(name, F.last("__value", ignorenulls=True).over(inside)).join(carried, [*keys, "__range"])
+    return out.withColumn(name, F.coalesce(name, "__carried")).drop("__range", "__value", "__carried")
+
+
+def summed(df: DataFrame, keys: list[str], line: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with `name`: the sum of value up to each row within keys, in two levels as `known`."""
+    df = _ranged(df, line).withColumn("__value", value)
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, "__range").agg(F.sum("__value").alias("__sum"))
+    before = sums.select(*keys, "__range", F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__before"))
+    out = df.withColumn(name, F.sum("__value").over(inside)).join(before, [*keys, "__range"])
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__value", "__before")
+
+
 def block_owner(markers: DataFrame, lines: DataFrame, keys: list[str], line: str) -> DataFrame:
     """Lines with the block that owns them: markers with no executable line between
-    them form one block, which owns the lines after it up to the next block."""
+    them form one block, which owns the lines after it up to the next block. Keys and
+    lines are not null; a line is listed once."""
     both = markers.select(*keys, line, F.lit(1).alias("m")).unionByName(lines.select(*keys, line, F.lit(0).alias("m")))
-    w = Window.partitionBy(*keys).orderBy(line, F.desc("m"))
-    starts = both.withColumn("start", ((F.col("m") == 1) & (F.coalesce(F.lag("m").over(w), F.lit(0)) == 0)).cast("int"))
-    return starts.withColumn("block", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("m = 0").drop("m", "start")
+    order = [F.col(line), -F.col("m")]
+    told = known(both, keys, line, order, F.col("m"), "__prior", own=False)
+    start = ((F.col("m") == 1) & (F.coalesce("__prior", F.lit(0)) == 0)).cast("int")
+    return summed(told, keys, line, order, start, "block").where("m = 0").drop("m", "__prior")
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

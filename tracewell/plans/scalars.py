@@ -9,6 +9,7 @@ from tracewell.functions import identity as ident
 from tracewell.functions import text as fn
 from tracewell.operators import changes
 from tracewell.operators import references as ref
+from tracewell.operators import windows as win
 from tracewell.plans.estate import Estate
 from tracewell.plans.events import _LOG, log
 from tracewell.plans.registry import query
@@ -104,11 +105,9 @@ def anchor_rename(e: Estate) -> DataFrame:
 @query("SELECT file, name, line, coalesce(lead(line) OVER (PARTITION BY file ORDER BY line) - 1, line + 50) AS end_line FROM (SELECT p_brand AS file, 'f' || p_partkey AS name, p_partkey AS line FROM part)")
 def external_prescan(e: Estate) -> DataFrame:
     """A user's structure table; a missing end is the line before the next start."""
-    from pyspark.sql.window import Window
-
     t = e.table("part").select(F.col("p_brand").alias("file"), F.concat(F.lit("f"), "p_partkey").alias("name"), F.col("p_partkey").alias("line"))
-    nxt = F.lead("line").over(Window.partitionBy("file").orderBy("line"))
-    return t.select("file", "name", "line", F.coalesce(nxt - 1, F.col("line") + 50).alias("end_line"))
+    told = win.known(t, ["file"], "line", [F.col("line")], F.col("line"), "next", own=False, ahead=True)
+    return told.select("file", "name", "line", F.coalesce(F.col("next") - 1, F.col("line") + 50).alias("end_line"))
 
 
 @query("SELECT count(*) AS lines, count(DISTINCT file) AS files, count(*) FILTER (WHERE hits > 0) > 0 AS has_measurement FROM code_lines", tables=_LINES)

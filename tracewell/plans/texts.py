@@ -125,11 +125,23 @@ def comment_id(e: Estate) -> DataFrame:
     return e.table("conversations").select("conv_id", "turn", F.concat(F.lit("c-"), day, F.lit("-"), F.substring(F.sha2(seed, 256), 1, 6)).alias("comment_id"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(t, 'the') OR contains(t, 'qzq') THEN 10 ELSE 0 END + CASE WHEN contains(t, 'er') THEN 10 ELSE 0 END AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)
-WHERE (contains(t, 'the') OR contains(t, 'qzq')) AND contains(t, 'er') AND contains(t, 'of the') AND NOT contains(t, 'und')""")
+def _one(term: str) -> str:
+    t = term.removeprefix("=")
+    keyword = f"lang = '{t}' OR source = '{t}'" if term.startswith("=") else f"contains(lang, '{t}') OR contains(source, '{t}')"
+    return f"CASE WHEN {keyword} THEN {40 if term.startswith('=') else 25} WHEN contains(text, '{t}') THEN 10 ELSE 0 END"
+
+
+_ASKED = '(the OR qzq) er -und "of the" =en OR =de AND (of (OR =fr))'
+_GROUPS = (("the", "qzq"), ("er",), ("=en", "=de"), ("of", "=fr"))
+
+
+@query(
+    f"""SELECT doc_id, a + b + c + d AS score FROM (SELECT doc_id, text, lang, source, {", ".join(f"greatest({', '.join(map(_one, g))}, 0) AS {n}" for n, g in zip("abcd", _GROUPS))}
+FROM (SELECT doc_id, lower(text) AS text, coalesce(lower(lang), '') AS lang, coalesce(lower(source), '') AS source FROM documents)) WHERE a > 0 AND b > 0 AND c > 0 AND d > 0 AND (contains(text, 'of the') OR contains(lang || ' ' || source, 'of the')) AND NOT (contains(text, 'und') OR contains(lang, 'und') OR contains(source, 'und'))"""
+)
 def parse_query_terms(e: Estate) -> DataFrame:
-    """A search as users write it, over the whole texts of all documents."""
-    wanted = fn.Terms.of('the OR qzq er -und "of the"')
+    """A search as users write it, with brackets and whole keywords, over the whole texts of
+    all documents; their language and source are the keywords."""
     none = F.lit("")
-    scored = e.table("documents").select("doc_id", wanted.score(none, none, F.col("text"), F.array().cast("array<string>")).alias("score"))
-    return scored.where("score > 0")
+    score = fn.Terms.of(_ASKED).score(none, none, F.col("text"), F.array("lang", "source"))
+    return e.table("documents").select("doc_id", score.alias("score")).where("score > 0")

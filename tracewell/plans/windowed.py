@@ -64,10 +64,11 @@ def line_context(e: Estate) -> DataFrame:
     """The function that encloses each line, and the one that opens within five rows."""
     starts = e.table("part").where("p_size % 7 = 0").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), F.lit(None).cast("long").alias("hits"), F.concat(F.lit("f"), F.col("p_partkey")).alias("name"), F.lit(0).alias("k"))
     both = code_lines(e).withColumn("name", F.lit(None).cast("string")).withColumn("k", F.lit(1)).unionByName(starts)
-    w = Window.partitionBy("file").orderBy("line", "k")
-    held = F.last("name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("name", ignorenulls=True).over(w.rowsBetween(1, 5))
-    return both.withColumn("enclosing", held).withColumn("coming", ahead).where("name is null").drop("name", "k")
+    order = [F.col("line"), F.col("k")]
+    both = win.summed(both, ["file"], "line", order, F.lit(1), "row")
+    both = win.known(both, ["file"], "line", order, F.col("name"), "enclosing")
+    both = win.known(both, ["file"], "line", order, F.when(F.col("name").isNotNull(), F.struct("row", "name")), "next", own=False, ahead=True)
+    return both.withColumn("coming", F.when(F.col("next.row") - F.col("row") <= 5, F.col("next.name"))).where("name is null").drop("name", "k", "row", "next")
 
 
 @query("SELECT file, count(*) AS executable, count(*) FILTER (WHERE hits > 0) AS covered FROM code_lines GROUP BY file", tables=_LINES)
