@@ -18,7 +18,7 @@ from tracewell.plans.coverage import r6
 from tracewell.plans.integrity import unmarked_files
 from tracewell.plans.joins import REFS, items_of
 from tracewell.plans.registry import query
-from tracewell.plans.sets import _TERMS, terms
+from tracewell.plans.sets import terms
 from tracewell.plans.windowed import _LINES, line_range_join
 
 #: Keywords that each kind of file may use.
