@@ -61,6 +61,19 @@ def test_negatives_of_ties_and_of_huge_components(spark):
     assert mined(spark.createDataFrame(far, SCHEMA)) == []
 
 
+def test_negatives_of_far_components_keep_their_exact_scores(spark):
+    rng = np.random.default_rng(8)
+    far = [(i, [x * s for x in rng.normal(size=8).tolist()], i % 3) for i, s in enumerate([1.0, 3e4, 1e6, 2e6] * 40)]
+    # Parts that cancel out, and a component past every long beside zeros.
+    far += [(200 + i, [3e6, 3e6, 1.0 + i, 0.0, 0.0, 0.0, 0.0, 0.0], i % 2) for i in range(20)] + [(220 + i, [3e6, -3e6, 9.0 + i, 0.0, 0.0, 0.0, 0.0, 0.0], i % 2) for i in range(20)]
+    double = SCHEMA.replace("float", "double")
+    assert mined(spark.createDataFrame(far, double), segment=30, cells=4, anchors=7) == brute_negatives(far)
+    past = [(i, [float(1 + i), 0.0 if i != 3 else 1e30], i % 2) for i in range(40)]
+    plain = [(i, [v[0], 0.0], c) for i, v, c in past]
+    assert mined(spark.createDataFrame(past, double), segment=16) == brute_negatives(plain)
+    assert negatives.dots(np.array([[2.0**40, 1.0]]), np.array([[2.0**40, 5.0], [2.0**20, 3.0], [-(2.0**60), 2.0]])).tolist() == [[negatives.LONG, 2**60 + 3, -negatives.LONG]]
+
+
 def test_cells_come_by_falling_bound_and_hold_every_row():
     rng = np.random.default_rng(1)
     v = rng.integers(-200, 200, size=(500, 8))
