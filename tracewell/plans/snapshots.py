@@ -25,7 +25,8 @@ UNION ALL SELECT g.id, c.id, g.path, c.path, CASE WHEN c.id IS NULL THEN 'remove
 def detect_moved(e: Estate) -> DataFrame:
     """Two snapshots of the orders: what moved between files, was edited, renamed, added or removed."""
     o = e.table("orders")
-    text = F.concat("o_orderpriority", F.col("o_totalprice").try_cast("decimal(18,0)").cast("string"))
+    # Halves go to the even neighbour, as where a double becomes an integer.
+    text = F.concat("o_orderpriority", F.rint("o_totalprice").try_cast("long").cast("string"))
     place = F.floor(F.col("o_custkey") / 10)
     old = o.where("o_orderkey % 11 <> 0").select(F.concat(F.lit("O"), "o_orderkey").alias("id"), F.concat(F.lit("f"), place).alias("path"), F.sha2(text, 256).alias("hash"))
     moved = place + F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)
