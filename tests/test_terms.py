@@ -70,6 +70,24 @@ def test_claims_never_overlap_and_longer_terms_win():
         assert re.sub(r"[*_]", "", back).lower() == re.sub(r"[*_]", "", text).lower()
 
 
+def test_terms_by_themselves_may_overlap(spark):
+    terms = [("The the", True), ("The at", True), ("a of", True)]
+    text = "the the at. *a of the the*, bathe atlas; The\nat"
+    got = {(t, start, kind) for t, start, kind, *_ in ops.scanned(text, terms, apart=True)}
+    assert got == {("The the", 0, "plain"), ("The at", 4, "plain"), ("The the", 18, "plain"), ("a of", 13, "plain")}
+    assert ("The the", 0) in {r[:2] for r in ops.scanned(text, terms)} and ("The at", 4) not in {r[:2] for r in ops.scanned(text, terms)}
+    assert ops.kept("the the at", terms) == [("the at", "*The at*")] and ops.kept("the the. the at *The at*", terms) == []
+    assert ops.kept("`a of`, x-a of **one a of**", terms) == [("a of", "*a of*")] * 3
+    # Candidates by two words running: no occurrence is lost to them.
+    texts = spark.createDataFrame([("t1", text), ("t2", "x_the the_"), ("t3", "_the at_ THE  at")], "id string, text string")
+    known = spark.createDataFrame([*terms, ("of", True)], "term string, indexed boolean")
+    found = {(r.id, r.term, r.start) for r in ops.occurrences(texts, known, "id", "text", apart=True).collect()}
+    want = {(k, r[0], r[1]) for k, x in (("t1", text), ("t2", "x_the the_"), ("t3", "_the at_ THE  at")) for r in ops.scanned(x, [*terms, ("of", True)], apart=True)}
+    assert found == want and ("t1", "of", 15) in found
+    new = {r.id: ([x.new for x in r.replaced], [x.new for x in r.kept]) for r in ops.canonicalized(spark.createDataFrame([("t", "the the at")], "id string, text string"), known, "id", "text").collect()}
+    assert new == {"t": (["*The the*"], ["*The at*"])}
+
+
 def test_tables_of_texts_and_terms(spark):
     texts = spark.createDataFrame([("t1", "One Diary.\nTwo *diary*."), ("t2", None), ("t3", ""), (None, "Diary"), ("t4", "no such"), ("t1b", "SPONSOR PORTAL " * 300)], "id string, text string")
     terms = spark.createDataFrame([*TERMS, ("--", True)], "term string, indexed boolean")
