@@ -389,3 +389,19 @@ def test_snapshot_hashes_round_halves_as_sql_does(spark, tmp_path):
     want = con.execute(registry.oracle_sql()["detect_moved"]).fetchall()
     key = lambda r: tuple(str(c) for c in r)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("name", ["line_range_join", "lcov_tested", "aggregate_line_coverage"])
+def test_opened_ranges_are_never_broadcast(spark, name):
+    from tracewell.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_conduction_broadcasts_no_table_of_nodes(spark):
+    labels = spark.createDataFrame([("a", "A", 0.0), ("b", "A", 1.0), ("c", "A", 0.5)], "node string, label string, x double")
+    edges = spark.createDataFrame([("a", "b", None), ("a", "c", "A")], "src string, dst string, label string")
+    out = conduction.conducted(labels, edges, ["x"])
+    assert [tuple(r) for r in out.collect()] == [("a", "A", 0.75)]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
