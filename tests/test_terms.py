@@ -1,5 +1,6 @@
 """Glossary terms in texts, and comments of sources."""
 
+import os
 import random
 import re
 
@@ -99,6 +100,36 @@ def test_tables_of_texts_and_terms(spark):
     assert ops.occurrences(texts, terms.limit(0), "id", "text").count() == 0
 
 
+def test_texts_without_a_key_or_with_a_shared_one(spark):
+    big = (1 << 60) + 1
+    texts = spark.createDataFrame([(None, "en", "Diary"), (None, "de", "a log *Diary*"), (big, "en", "diary"), (big, "fr", "Sponsor Portal")], "id long, lang string, text string")
+    terms = spark.createDataFrame([("Diary", True), ("Sponsor Portal", True)], "term string, indexed boolean")
+    got = sorted(tuple(map(repr, (r.lang, r.id, r.term, r.kind))) for r in ops.occurrences(texts, terms, "id", "text", apart=True, carried=["lang"]).collect())
+    assert got == [("'de'", "None", "'Diary'", "'marked'"), ("'en'", str(big), "'Diary'", "'plain'"), ("'en'", "None", "'Diary'", "'plain'"), ("'fr'", str(big), "'Sponsor Portal'", "'plain'")]
+    new = sorted(((r.id, r.text) for r in ops.canonicalized(texts, terms, "id", "text").collect()), key=repr)
+    assert new == sorted([(None, "*Diary*"), (big, "*Diary*"), (big, "*Sponsor Portal*")], key=repr)
+
+
+def test_term_queries_equal_sql_without_ids(spark, tmp_path):
+    import duckdb
+
+    from tracewell.plans import registry
+
+    docs = [(None, "Red book is. A red book, and more.\nRed Book", "en"), (7, "red book, red book", "en"), (7, "Green tea, red book. x", "de"), (8, None, "en"), (None, "no term", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Red book of colours and more"), (2, "Green tea is a drink"), (3, "Not found here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if f.removesuffix(".parquet") not in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '/root/testdata/sf0.001/{f}'")
+    for name in ("scan_terms", "term_detail", "term_index", "terms_canonical_form", "terms_unmarked", "canonicalize_terms", "collection_manifest"):
+        df = registry.queries()[name](spark, str(tmp_path))
+        found = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(found, key=repr), name
+
+
 def test_emphasis_without_a_term(spark):
     texts = spark.createDataFrame([(1, "*Diary* **other**\n*log book* *new one* `*code*` * x * ** **"), (2, None)], "id int, text string")
     terms = spark.createDataFrame([("Diary", ["Log Book"]), ("x", None)], "term string, synonyms array<string>")
