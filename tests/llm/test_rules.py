@@ -179,6 +179,25 @@ def test_quality_without_labels_keeps_what_the_base_rules_keep(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_is_fitted_on_all_labels(spark):
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    assert quality.labelled_sample(labels).count() == 30_000
+
+
+def test_quality_threshold_equals_brute_force(spark):
+    rnd = random.Random(3)
+    for rows in ([(round(rnd.gauss(0.5 if t else 0, 1), 1 + 2 * (n % 2)), t) for _ in range(n) for t in (rnd.random() < 0.3,)] for n in (60, 401)):
+        tries = []
+        scores = sorted({s for s, _ in rows})
+        for i, cut in enumerate(scores):
+            error = sum(20 for s, t in rows if t and s < cut) + sum(1 for s, t in rows if not t and s >= cut)
+            tries.append((error, cut, -math.inf if i == 0 else (cut + scores[i - 1]) / 2))
+        got = quality.fitted_threshold(spark.createDataFrame(rows, "score double, trusted boolean"))
+        assert got == min(tries)[2]
+    for rows in ([], [(1.0, True)], [(1.0, False), (2.0, False)], [(1.0, True), (1.0, False)]):
+        assert quality.fitted_threshold(spark.createDataFrame(rows, "score double, trusted boolean")) == -math.inf
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rnd = random.Random(9)
