@@ -144,7 +144,7 @@ def follows(e: Estate, step: int, priority: str) -> DataFrame:
     o = e.table("orders")
     later = o.select((F.col("o_orderkey") - step).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
     tied = o.where((F.col("o_orderpriority") == priority) & F.col("o_orderstatus").isin("F", "O"))
-    return tied.select("o_orderkey", F.col("o_custkey").alias("src")).join(later, "o_orderkey").select("src", "dst")
+    return tied.select("o_orderkey", F.col("o_custkey").alias("src")).join(later.hint("merge"), "o_orderkey").select("src", "dst")
 
 
 def follows_sql(step: int, priority: str) -> str:
