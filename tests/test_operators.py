@@ -66,6 +66,14 @@ def test_cycles(spark):
     assert {tuple(r) for r in strong.strongly_connected(e).collect()} == {("b", "b"), ("c", "b"), ("d", "b"), ("s", "s")}
 
 
+def test_cycles_send_no_table_of_nodes_to_the_driver(spark):
+    n = 40
+    e = edges(spark, *[(f"{i:02}", f"{(i + 1) % n:02}") for i in range(n)], ("00", "x"))
+    got = strong.strongly_connected(e)
+    assert {tuple(r) for r in got.collect()} == {(f"{i:02}", "00") for i in range(n)}
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
 def conduct(spark, labels, edges, values=("v",)):
     df = spark.createDataFrame(labels, "node string, label string, " + ", ".join(f"{v} double" for v in values))
     out = conduction.conducted(df, spark.createDataFrame(edges, "src string, dst string, label string"), values)
@@ -94,6 +102,14 @@ def walked(labels, edges, values):
     return {(n, label): r for n, ls in of.items() for label in ls if (r := rolled(n, label, frozenset())) is not None}
 
 
+def test_conduction_reads_labels_of_leaves_once(spark, monkeypatch):
+    held, to_labels = [], conduction._to_labels
+    monkeypatch.setattr(conduction, "_to_labels", lambda given, labels, *rest: held.append({r.node for r in labels.collect()}) or to_labels(given, labels, *rest))
+    labels = [(n, "A", 0.5) for n in ("p", "q", "x", "y", "z")]
+    assert conduct(spark, labels, [("p", "q", None), ("q", "x", "A"), ("q", "y", None)]) == {("p", "A"): (0.5,), ("q", "A"): (0.5,)}
+    assert held and all(nodes == {"p", "q"} for nodes in held)
+
+
 def test_conduction_means_over_refining_nodes(spark):
     labels = [("p", "A", 0.0, 0.0), ("p", "B", 0.0, 1.0), ("x", "A", 1.0, 0.0), ("y", "A", 0.0, 1.0), ("y", "B", 1.0, 1.0)]
     got = conduct(spark, labels, [("p", "x", "A"), ("p", "y", None), ("p", "bare", "B")], ("direct", "indirect"))
@@ -405,3 +421,11 @@ def test_conduction_broadcasts_no_table_of_nodes(spark):
     out = conduction.conducted(labels, edges, ["x"])
     assert [tuple(r) for r in out.collect()] == [("a", "A", 0.75)]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_source_matches_are_distinct_without_a_last_shuffle(spark):
+    results = spark.createDataFrame([("r", "J1/1", "f", 1, None, None)] * 2, "result_id string, name string, file string, line int, root_file string, root_line int")
+    tests = spark.createDataFrame([("t", "f", 1, "J1/1")] * 2 + [("u", "f", 1, None)], "test_id string, file string, line int, step string")
+    got = matching.source_matches(results, tests)
+    assert [tuple(r) for r in got.collect()] == [("r", "t", "step")]
+    assert not got._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")

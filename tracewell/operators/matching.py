@@ -38,7 +38,8 @@ def source_matches(results: DataFrame, tests: DataFrame) -> DataFrame:
     are told by their ids; repeated rows count once.
 
     Scopes are settled against the distinct places of the tests, so that a result meets
-    the tests of one scope only."""
+    the tests of one scope only. A result has one best place and a test stands there
+    once, so what comes out is distinct as it is."""
     no_place = F.when(F.col("file").isNotNull(), F.struct(F.lit(len(SCOPES) - 1).alias("rank"), F.col("file").alias("at_file"), F.lit("").alias("at")))
     wanted = F.array_compact(F.array(_place("step", F.col("file"), step_of(F.col("name"))), _place("line", F.col("file"), F.col("line")), _place("root_line", F.col("root_file"), F.col("root_line")), no_place))
     held = F.array_compact(F.array(_place("step", F.col("file"), F.col("step")), _place("line", F.col("file"), F.col("line")), no_place))
@@ -46,7 +47,7 @@ def source_matches(results: DataFrame, tests: DataFrame) -> DataFrame:
     asked = results.select("result_id", F.inline(wanted)).join(places.select("at_file", "at").distinct(), ["at_file", "at"], "left_semi")
     best = asked.groupBy("result_id").agg(F.min(F.struct("rank", "at_file", "at")).alias("b")).select("result_id", "b.*")
     scope = F.element_at(F.array(*map(F.lit, SCOPES)), F.col("rank") + 1)
-    return best.join(places, ["at_file", "at"]).select("result_id", "test_id", scope.alias("match_scope")).distinct()
+    return best.join(places, ["at_file", "at"]).select("result_id", "test_id", scope.alias("match_scope"))
 
 
 def unmatched(item: Column, namespaces: Sequence[str], digits: int) -> Column:

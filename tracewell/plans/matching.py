@@ -16,16 +16,17 @@ step_named AS (SELECT *, list_distinct(regexp_extract_all(name, 'J[0-9]+/[0-9]+'
 by_step AS (SELECT DISTINCT result_id, test_id FROM step_named r JOIN placed_tests t ON t.file = r.file AND t.step = found[1] WHERE len(found) = 1)"""
 
 
+# Rows may repeat: the matching operators count them once.
 def _tests(e: Estate) -> DataFrame:
     step = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("J"), F.col("l_suppkey") % 50, F.lit("/"), "l_linenumber"))
-    return e.table("lineitem").where("l_returnflag = 'A'").select(F.concat(F.lit("T"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).alias("test_id"), F.format_string("tests/p%d.py", "l_partkey").alias("file"), F.col("l_linenumber").alias("line"), step.alias("step")).distinct()
+    return e.table("lineitem").where("l_returnflag = 'A'").select(F.concat(F.lit("T"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).alias("test_id"), F.format_string("tests/p%d.py", "l_partkey").alias("file"), F.col("l_linenumber").alias("line"), step.alias("step"))
 
 
 def _results(e: Estate) -> DataFrame:
     name = F.concat(F.lit("walks J"), F.col("l_suppkey") % 50, F.lit("/"), "l_linenumber", F.when(F.col("l_orderkey") % 3 == 0, " then J1/1").otherwise(""))
     line = F.when(F.col("l_suppkey") % 5 != 0, F.col("l_linenumber") + F.col("l_suppkey") % 3)
     root = F.when(F.col("l_orderkey") % 2 == 0, F.col("l_suppkey") % 10)
-    return e.table("lineitem").where("l_returnflag <> 'A'").select(F.concat(F.lit("R"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).alias("result_id"), name.alias("name"), F.format_string("tests/p%d.py", "l_partkey").alias("file"), line.alias("line"), F.format_string("tests/p%d.py", F.col("l_partkey") + 1).alias("root_file"), root.alias("root_line")).distinct()
+    return e.table("lineitem").where("l_returnflag <> 'A'").select(F.concat(F.lit("R"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).alias("result_id"), name.alias("name"), F.format_string("tests/p%d.py", "l_partkey").alias("file"), line.alias("line"), F.format_string("tests/p%d.py", F.col("l_partkey") + 1).alias("root_file"), root.alias("root_line"))
 
 
 @query("SELECT result_id, test_id FROM by_step", tables=_PLACED)
@@ -44,7 +45,7 @@ def result_source_match(e: Estate) -> DataFrame:
 @query("SELECT result_id, file, line + 1 AS line, 'unit' AS target, 'source' AS match, true AS carried FROM placed_results", tables=_PLACED)
 def ingest_target_results(e: Estate) -> DataFrame:
     """Results under an absolute root with lines from 0, taken in as results of one target."""
-    raw = _results(e).select("result_id", F.concat(F.lit("/srv/a.b/"), "file").alias("file"), "line")
+    raw = _results(e).distinct().select("result_id", F.concat(F.lit("/srv/a.b/"), "file").alias("file"), "line")
     return normalized_results(raw, "unit", "source", "/srv/a.b/", line_base=0, carried=True)
 
 
