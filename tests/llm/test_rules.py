@@ -327,6 +327,13 @@ def test_licences_equal_scoring_by_hand(spark):
     assert sorted(got) == sorted(want) and {f for _, _, f in got} >= set(licences.TEMPLATES)
 
 
+def test_licence_scan_scores_paragraphs_without_a_template_trigram(spark, monkeypatch):
+    scored, own = [], licences.paragraphs
+    monkeypatch.setattr(licences, "paragraphs", lambda *args: scored.append(own(*args)) or scored[-1])
+    licences.scanned(spark.createDataFrame([(1, "Licensed under MIT. A calm sentence.\n \nOf stones."), (2, None)], "doc_id long, text string"))
+    assert sorted(r.paragraph for r in scored[0].collect()) == ["A calm sentence.", "Licensed under MIT.", "Of stones."]
+
+
 def test_licences_of_an_empty_table(spark):
     assert licences.scanned(spark.createDataFrame([], "doc_id long, text string, g string")).count() == 0
 

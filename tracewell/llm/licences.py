@@ -7,8 +7,8 @@ threshold that is calibrated on held-out ordinary paragraphs, else the class is
 unknown; and it is confirmed by comparison with the templates of the family it
 names: the share of the paragraph's word trigrams that they hold.
 
-A paragraph that shares no word trigram with any template is ordinary, whatever the
-classifier says; as that can be told first, the classifier scores the others only.
+Every paragraph is scored. `found` can be held to those that share a word trigram with
+a template, which can be told first and leaves few to score; the scan is not.
 It is fitted on the templates below and on ordinary paragraphs: one of each of about NEGATIVES // 2 documents, drawn
 by hash from the whole text, twice. Everything is DataFrame and JVM-side ML work."""
 
@@ -142,8 +142,11 @@ def template_pattern() -> str:
     return f"(?<![a-z0-9])(?:{'|'.join(letters)})"
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, paragraph: those with a template's trigram."""
+def paragraphs(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, paragraph: all of them, or those with a template's trigram."""
+    if whole:
+        lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+        return lines.select("doc_id", F.explode(F.split("line", SENTENCE_END)).alias("paragraph")).where(F.trim("paragraph") != "")
     hint = template_pattern()
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").rlike(hint))
     parts = lines.select("doc_id", F.explode(F.split("line", SENTENCE_END)).alias("paragraph")).where(F.lower("paragraph").rlike(hint))
@@ -209,12 +212,12 @@ class Classifier:
         return out.withColumn("guess", guess).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def found(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
+def found(docs: DataFrame, model: Classifier | None = None, whole: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, paragraph, family, p, likeness: every
-    paragraph of a template's trigram that the model doesn't take for ordinary text. family is unknown where
+    paragraph (unless whole: of a template's trigram) that the model doesn't take for ordinary text. family is unknown where
     the probability is under the threshold or the templates don't confirm it."""
     model = model or Classifier(docs)
-    df = model.scored(_featured(paragraphs(docs.select("doc_id", F.col("text").cast("string").alias("text")))))
+    df = model.scored(_featured(paragraphs(docs.select("doc_id", F.col("text").cast("string").alias("text")), whole)))
     by_family = F.create_map(*[x for f, g in template_grams().items() for x in (F.lit(f), F.array(*[F.lit(t) for t in g]))])
     df = df.where(F.col("guess") != ORDINARY).withColumn("g", _trigrams(_words(F.col("paragraph"))))
     held = F.try_element_at(by_family, F.col("guess"))
@@ -230,7 +233,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, families (sorted, confirmed ones), n_unknown
     (paragraphs that look like a licence but are no known one). Null and empty
     texts have none. Rows that repeat a doc_id, or have none, share what their texts hold."""
-    hits = found(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))).alias("families"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"))
+    hits = found(docs, whole=True).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))).alias("families"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"))
     ids = docs.select("doc_id")
     out = ids.join(hits, ids["doc_id"].eqNullSafe(hits["__id"]), "left")
     return out.select("doc_id", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"))
