@@ -429,3 +429,25 @@ def test_source_matches_are_distinct_without_a_last_shuffle(spark):
     got = matching.source_matches(results, tests)
     assert [tuple(r) for r in got.collect()] == [("r", "t", "step")]
     assert not got._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_immediate_measures_join_nothing_and_take_repeated_rows(spark):
+    a = spark.createDataFrame([("r", "A"), ("r", "A"), ("r", "B"), ("bare", "A"), (None, "A")], "req_id string, label string")
+    edge = "req_id string, source_id string, label string"
+    code = spark.createDataFrame([("r", "c1", "A"), ("r", "c1", "A"), ("r", "c3", None), ("r", "c4", "Z"), ("gone", "c5", "A"), (None, "c6", "A"), (None, "c7", None)], edge)
+    wide = coverage.immediate(a, coverage.evidence(code), "implemented")
+    got = {(r.req_id, r.label, r.implemented_direct, r.implemented_indirect) for r in wide.collect()}
+    assert got == {("r", "A", 1, 1), ("r", "B", 0, 1), ("bare", "A", 0, 0), (None, "A", 0, 0)} and wide.count() == 4
+    assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leaves_are_joined_with_nothing_conducted(spark):
+    from tracewell.plans import coverage as plans
+    from tracewell.plans.estate import Estate
+
+    e = Estate(spark, "/root/testdata/sf0.001")
+    upper, leaves = plans.refined_immediates(e, "implemented")
+    parents = {r.src for r in plans.refining_of(e).select("src").distinct().collect()}
+    assert {r.req_id for r in upper.collect()} <= parents and not {r.req_id for r in leaves.collect()} & parents
+    plan = plans.measures_of(e, "implemented")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and upper.count() + leaves.count() == plans.measures_of(e, "implemented").count()
