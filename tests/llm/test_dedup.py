@@ -284,3 +284,35 @@ def test_vectors_equal_brute_force(spark):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.linked(df, 0.98, block).collect()}
         assert got == {i: (n[i], root[i], root[i] == i) for i in root}
     assert vectors.linked(df.limit(0)).count() == 0
+
+
+def test_rows_of_small_buckets_are_not_opened(spark, monkeypatch):
+    rows = spark.createDataFrame([(b, n) for b in range(3) for n in range(4)], "bucket long, node long")
+    assert buckets.parted(rows, "bucket") is rows
+    monkeypatch.setattr(buckets, "PART", 5)
+    mixed = rows.unionByName(spark.createDataFrame([(9, n) for n in range(12)], "bucket long, node long"))
+    got = [tuple(r) for r in buckets.parted(mixed, "bucket").collect()]
+    assert sum(0 <= b < 9 for b, _ in got) == 12 and all(b & buckets.OWN for b, _ in got if not 0 <= b < 9)
+    held = {}
+    for b, n in got:
+        held.setdefault(b, set()).add(n)
+    assert all(any({i, j} <= h for b, h in held.items() if b & buckets.OWN) for i in range(12) for j in range(12))
+
+
+def test_pairs_of_a_bucket_are_compared_once():
+    seen = []
+
+    def exact(payloads):
+        return lambda i, js: seen.extend(frozenset((i, int(j))) for j in js) or np.zeros(len(js), dtype=bool)
+
+    x = {"component": np.arange(5)}
+    assert buckets.joining_edges(x, [b""] * 5, lambda x, i, j: np.ones(len(j), dtype=bool), exact) == []
+    assert len(seen) == len(set(seen)) == 10
+
+
+def test_pairs_of_lines_are_compared_in_the_bucket_of_their_first_block():
+    x = {"size": np.array([9, 9, 9]), "s1": np.zeros(3, np.uint64), "s2": np.zeros(3, np.uint64)}
+    x |= {"x0": np.array([5 << 32 | 7, 5 << 32 | 7, 6 << 32 | 7], np.uint64), "x1": np.zeros(3, np.uint64), "x2": np.zeros(3, np.uint64)}
+    others = np.array([1, 2])
+    at = lambda bucket: lines._close_here(x | {"bucket": np.full(3, bucket)}, 0, others).tolist()
+    assert at(5) == [True, True] and at(1 << 32 | 7) == [False, True] and at(buckets.OWN | 1 << 32 | 7) == [True, True]
