@@ -304,6 +304,14 @@ def test_expanded_names_what_an_owner_lacks(spark):
     assert got == [("s", "R-1-A+B", "y", "R-1", "A", None), ("s", "R-1-A+B", "y", "R-1", "B", "unknown_assertion"), ("t", "R-1-A+B", "z", "R-1", "A", "unknown_assertion"), ("t", "R-1-A+B", "z", "R-1", "B", None)]
 
 
+def test_expanded_shuffles_each_table_once(spark):
+    refs = spark.createDataFrame([("s", "x", "R-1-A+B"), ("s", None, "R-1-A+B"), ("t", "y", "R-1-A+C")], "source_id string, repo string, target string")
+    holders = spark.createDataFrame([("y", "R-1", "A"), ("y", "R-1", "A"), ("y", "R-1", None), ("x", "R-1", "B"), (None, "R-1", "B"), ("z", "R-2", "A")], "repo string, req_id string, label string")
+    out = fed.expanded(refs, holders)
+    assert sorted(map(tuple, out.collect()), key=repr) == [("s", "R-1-A+B", "y", "R-1", "A", None), ("s", "R-1-A+B", "y", "R-1", "B", "unknown_assertion")]
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 2
+
+
 def test_templates_to_review(spark):
     clones = spark.createDataFrame([("c::t", "t", "c"), ("d::t", "t", "d"), ("c::u", "u", "c"), ("c::v", "v", "c")], "id string, template string, declaring string")
     hashes = spark.createDataFrame([("t", "aa", "bb"), ("u", "CC", "cc"), ("v", None, "dd")], "id string, stored string, current string")

@@ -76,14 +76,18 @@ def expanded(refs: DataFrame, holders: DataFrame) -> DataFrame:
     which no repository holds any, give no rows: they keep the class they have."""
     cut = F.regexp_extract("target", r"^(.*)-([^-]*)$", 1)
     labels = F.array_distinct(F.split(F.regexp_extract("target", r"^(.*)-([^-]*)$", 2), r"\+"))
-    wanted = refs.select("source_id", "repo", "target", cut.alias("req_id"), labels.alias("labels")).where(F.size("labels") > 1).distinct()
-    wanted = wanted.select("source_id", "repo", "target", "req_id", F.explode("labels").alias("label"))
-    held = holders.select(F.col("repo").alias("holder"), "req_id", "label").distinct()
-    met = wanted.join(held, ["req_id", "label"]).where("holder <> repo")
-    by_label = wanted.join(met, ["source_id", "repo", "target", "req_id", "label"], "left").groupBy("source_id", "repo", "target", "req_id", "label").agg(F.collect_set("holder").alias("holders"))
-    owner = met.groupBy("source_id", "repo", "target").agg(F.min("holder").alias("owner"))
-    fault = F.when(~F.array_contains("holders", F.col("owner")), "unknown_assertion")
-    return by_label.join(owner, ["source_id", "repo", "target"]).select("source_id", "target", "owner", "req_id", "label", fault.alias("class"))
+    # What is dealt by requirement is made distinct, grouped and joined where it lies: equal references name equal requirements.
+    dealt = refs.select("source_id", "repo", "target", cut.alias("req_id")).where(F.size(labels) > 1).repartition("req_id")
+    wanted = dealt.distinct().withColumn("labels", labels)
+    held = holders.groupBy("req_id").agg(F.collect_set(F.struct(F.col("repo").alias("holder"), "label")).alias("held"))
+    met = wanted.join(held.hint("merge"), "req_id")
+    named = F.filter("held", lambda h: (h["holder"] != F.col("repo")) & F.array_contains("labels", h["label"]))
+    owned = met.withColumn("owner", F.array_min(F.transform(named, lambda h: h["holder"]))).where("owner is not null")
+    own = F.transform(F.filter("held", lambda h: h["holder"] == F.col("owner")), lambda h: h["label"])
+    by_label = owned.select("source_id", "target", "owner", "req_id", own.alias("own"), F.explode("labels").alias("label"))
+    # A label of null is held by nobody.
+    fault = F.when(~F.coalesce(F.array_contains("own", F.col("label")), F.lit(False)), "unknown_assertion")
+    return by_label.select("source_id", "target", "owner", "req_id", "label", fault.alias("class"))
 
 
 def templates_to_review(clones: DataFrame, hashes: DataFrame) -> DataFrame:
