@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import duckdb
 import pytest
 
 from tracewell.functions.comments import comments
@@ -130,6 +131,37 @@ def test_term_queries_equal_sql_without_ids(spark, tmp_path):
         assert sorted(map(tuple, df.collect()), key=repr) == sorted(found, key=repr), name
 
 
+@pytest.fixture
+def glossed(spark, tmp_path):
+    from tracewell.plans import registry
+
+    docs = [(1, "A *red book*, and.\nRed book here; re-red book, *red book*, red book-red book red-book", "en"), (2, "a __Red book__ b *Red book* c **Red book** d Red book e", "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Red book " + "of colours " * 20), (2, "Not found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if f.removesuffix(".parquet") not in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '/root/testdata/sf0.001/{f}'")
+
+    def run(name: str) -> list[tuple]:
+        df = registry.queries()[name](spark, str(tmp_path))
+        got = sorted(map(tuple, df.collect()), key=repr)
+        assert got == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall(), key=repr)
+        return got
+
+    return run
+
+
+def test_term_detail_lists_every_reference(glossed):
+    got = glossed("term_detail")
+    own = [r for r in got if r[2] is not None]
+    refs = [r[4:] for r in got if r[2] is None]
+    assert sorted((r[0], r[2], r[3]) for r in own) == [(1, "Red book " + "of colours " * 20, 10), (2, "Not found", 0)]
+    assert len(refs) == 10 and {r for r in refs if r[0] == 2} == {(2, "de", 1, False, "__"), (2, "de", 1, True, ""), (2, "de", 1, False, "")}
+
+
 def test_emphasis_without_a_term(spark):
     texts = spark.createDataFrame([(1, "*Diary* **other**\n*log book* *new one* `*code*` * x * ** **"), (2, None)], "id int, text string")
     terms = spark.createDataFrame([("Diary", ["Log Book"]), ("x", None)], "term string, synonyms array<string>")
