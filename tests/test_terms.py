@@ -162,6 +162,12 @@ def test_term_detail_lists_every_reference(glossed):
     assert len(refs) == 10 and {r for r in refs if r[0] == 2} == {(2, "de", 1, False, "__"), (2, "de", 1, True, ""), (2, "de", 1, False, "")}
 
 
+def test_terms_canonical_form_tells_markup_and_skips_longer_tokens(glossed):
+    got = glossed("terms_canonical_form")
+    assert [r[1:2] + r[3:] for r in got if r[0] == 1] == [(1, "Red book", "red book", True, "", False), (2, "Red book", "Red book", False, "", True), (2, "Red book", "red book", True, "", False), (2, "Red book", "red book", True, "", False)]
+    assert [r[4:] for r in got if r[0] == 2] == [("Red book", False, "__", False), ("Red book", False, "", True)]
+
+
 def test_emphasis_without_a_term(spark):
     texts = spark.createDataFrame([(1, "*Diary* **other**\n*log book* *new one* `*code*` * x * ** **"), (2, None)], "id int, text string")
     terms = spark.createDataFrame([("Diary", ["Log Book"]), ("x", None)], "term string, synonyms array<string>")
