@@ -423,6 +423,41 @@ def test_opened_ranges_are_never_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_lcov_counts_lines_once_and_takes_the_strictest_fraction(spark, tmp_path):
+    import os
+
+    import duckdb
+
+    from tracewell.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    # Parts of one file overlap (1 and 3); the file of part 20 asks for half of its lines, that of part 40 for none.
+    parts = spark.read.parquet(f"{sf}/part.parquet").drop("p_partkey", "p_brand", "p_size").limit(1)
+    at = spark.createDataFrame([(1, "Brand#13", 5), (3, "Brand#13", 5), (20, "Brand#12", 4), (40, "Brand#10", 9)], "p_partkey long, p_brand string, p_size long")
+    parts.crossJoin(at).write.parquet(f"{tmp_path}/part.parquet")
+    base = spark.read.parquet(f"{sf}/lineitem.parquet")
+    line = base.limit(1).drop("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_linestatus")
+    rows = [(1, 1, 1, 30.0, 0.0, "F"), (1, 3, 2, 30.0, 0.0, "F"), (1, 3, 3, 1.0, 0.01, "F"), (2, 20, 1, 30.0, 0.01, "F"), (2, 40, 2, 30.0, 0.01, "F"), (2, 40, 3, 1.0, 0.0, "F"), (2, 20, 4, 30.0, 0.01, "O")]
+    kinds = {f: base.schema[f].dataType for f in ("l_quantity", "l_tax")}
+    cited = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_tax double, l_linestatus string")
+    cited = cited.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()}).withColumn("l_linenumber", F.col("l_linenumber").cast(base.schema["l_linenumber"].dataType))
+    line.crossJoin(cited).select(base.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for f in os.listdir(sf):
+        if f not in ("part.parquet", "lineitem.parquet"):
+            os.symlink(f"{sf}/{f}", tmp_path / f)
+            con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    df = registry.queries()["lcov_tested"](spark, str(tmp_path))
+    got = {(r.req_id, r.label): (r.immediate_direct, r.immediate_indirect) for r in df.collect()}
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()['lcov_tested']})").fetchall()
+    assert got == {(r[0], r[1]): tuple(map(float, r[2:])) for r in want}
+    # Lines 1 to 8 stand for order 1, of which 2 and 5 ran; label C has its own share of 3 to 8.
+    assert {k: v for k, v in got.items() if k[0] == "O1"} == {("O1", "A"): (0.0, 0.25), ("O1", "B"): (0.0, 0.25), ("O1", "C"): (round(1 / 6, 6), 0.0)}
+    assert ("O2", "B") in got and got["O2", "A"] == (0.0, got["O2", "B"][0]) and got["O2", "B"] == (0.1, 0.0)
+
+
 def test_conduction_broadcasts_no_table_of_nodes(spark):
     labels = spark.createDataFrame([("a", "A", 0.0), ("b", "A", 1.0), ("c", "A", 0.5)], "node string, label string, x double")
     edges = spark.createDataFrame([("a", "b", None), ("a", "c", "A")], "src string, dst string, label string")
