@@ -494,3 +494,25 @@ def test_leaves_are_joined_with_nothing_conducted(spark):
     assert {r.req_id for r in upper.collect()} <= parents and not {r.req_id for r in leaves.collect()} & parents
     plan = plans.measures_of(e, "implemented")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and upper.count() + leaves.count() == plans.measures_of(e, "implemented").count()
+
+
+def test_dimension_check_lists_what_nothing_covers(spark):
+    from tracewell.plans import coverage as plans
+    from tracewell.plans.estate import Estate
+
+    e = Estate(spark, "/root/testdata/sf0.001")
+    rows = plans.dimension_coverage_check(e).collect()
+    summary = {r.dim: r for r in rows if r.req_id is None}
+    assert sorted(summary) == sorted(coverage.DIMENSIONS)
+    none = {}
+    for r in rows:
+        if r.req_id is not None:
+            none.setdefault(r.dim, []).append((r.req_id, r.label))
+    for d, r in summary.items():
+        assert r.assertions == r.covered + len(none[d]) and len(set(none[d])) == len(none[d])
+        assert r.req_with_direct <= r.req_with_any <= r.requirements and r.immediate_direct <= r.total_covered <= r.assertions
+    t = summary["tested"]
+    assert t.tested_passed > 0 and abs(t.tested_passed + t.tested_failed + t.tested_awaiting - t.total_covered) < 1e-4
+    # The states of wide rows are those of rows by dimension.
+    key = lambda df: sorted((r.req_id, r.label, r.state, round(r.credit, 9)) for r in df.collect())
+    assert key(coverage.states(plans.measures_wide(e))) == key(coverage.partition(plans.measures_of(e)))
