@@ -214,6 +214,33 @@ def test_lines_recall_against_plain_edit_similarity(spark):
     assert len(gone) >= 0.9 * true
 
 
+def test_lines_recall_in_every_class_of_short_lines(spark):
+    rnd = random.Random(21)
+    rows, classes = [], {}
+
+    def typo(w: str) -> str:
+        at = rnd.randrange(len(w))
+        return w[:at] + rnd.choice("abcdefgh") * rnd.randint(0, 2) + w[at + rnd.randint(0, 1) :] or "a"
+
+    for n in range(1, 12):
+        for kind in (1, 2, 3, "word"):
+            met = 0
+            for _ in range(400):
+                base = made_up(rnd, n)
+                other = edited(rnd, base, 0.2) if kind == "word" else list(base)
+                for at in rnd.sample(range(n), min(n, kind)) if kind != "word" else ():
+                    other[at] = typo(other[at])
+                if base != other and alike(" ".join(base), " ".join(other)) and met < 25:
+                    met += 1
+                    classes.setdefault((n, kind), []).append(len(rows) + 1)
+                    rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    gone = {r.doc_id for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(alike(texts[d], texts[d - 1]) for d in gone if d % 2)
+    recall = {c: sum(d in gone for d in ids) / len(ids) for c, ids in classes.items() if len(ids) >= 10}
+    assert {n for n, _ in recall} == set(range(1, 12)) and min(recall.values()) >= 0.9, recall
+
+
 def test_lines_of_repeated_doc_ids(spark):
     line = "one two three four five six seven eight nine ten eleven twelve"
     swapped = "seven eight nine ten eleven twelve one two three four five six"
